@@ -29,12 +29,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow over bounded slices; `each` gives a dict of columns for one slice."""
     target = to_arrow(schema)
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, rows):
             got = each(part)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in target], schema=target)
 

@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scriptoria.llm import tiff
-from scriptoria.llm.common import table
+from scriptoria.llm import bpe, tiff
+from scriptoria.llm.common import arrow_map, sha, table
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +24,18 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
+
+    def each(part):
+        return {n: part.column(n) for n in ("doc_id", "n_tokens", "ids_sha256")} | {"decoded_sha256": [sha(t.encode()) for t in part.column("text").to_pylist()]}
+
+    return arrow_map(decoded, each, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_tiff": op1_tiff}
+    return {"op1_tiff": op1_tiff, "op2_bpe": op2_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
