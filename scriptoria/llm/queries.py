@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptoria.llm import bpe, tiff
-from scriptoria.llm.common import arrow_map, sha, table
+from scriptoria.llm import bpe, langid, tiff
+from scriptoria.llm.common import arrow_map, crc_mod, sha, table
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -34,8 +34,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_map(decoded, each, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_tiff": op1_tiff, "op2_bpe": op2_bpe}
+    return {"op1_tiff": op1_tiff, "op2_bpe": op2_bpe, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
