@@ -1,4 +1,4 @@
-"""The queries of this subpackage, and SQL for those that SQL can express."""
+"""The queries of this subpackage, one module opN_<name> each, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,44 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptoria.llm import bpe, langid, tiff
-from scriptoria.llm.common import arrow_map, crc_mod, sha, table
+from scriptoria.llm import op1_tiff, op2_bpe, op8_pii, op10_langid
 
-
-def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where the installed package of public vocabularies keeps a file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = tiff.texts_to_tiff(table(spark, sf_dir, "documents"))
-    keys = [("doc_id", "long"), ("n_bytes", "long"), ("media_bytes", "long"), ("media_sha256", "string")]
-    found = tiff.page_features(tiff.tiff_pages(media, "media", keys), keys)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-
-
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
-
-    def each(part):
-        return {n: part.column(n) for n in ("doc_id", "n_tokens", "ids_sha256")} | {"decoded_sha256": [sha(t.encode()) for t in part.column("text").to_pylist()]}
-
-    return arrow_map(decoded, each, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string")
-
-
-def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
-    found = langid.predict(docs, model)
-    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+MODULES = (op1_tiff, op2_bpe, op8_pii, op10_langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_tiff": op1_tiff, "op2_bpe": op2_bpe, "op10_langid": op10_langid}
+    return {m.__name__.rpartition(".")[2]: m.run for m in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {m.__name__.rpartition(".")[2]: m.ORACLE_SQL for m in MODULES if getattr(m, "ORACLE_SQL", None)}
