@@ -37,6 +37,18 @@ def byte_alphabet() -> dict[str, int]:
     return table | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def token_bytes(data: str) -> list[bytes]:
+    """Bytes of each id, special tokens as their UTF-8."""
+    spec, alphabet = json.loads(data), byte_alphabet()
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    out = [b""] * (max([*spec["model"]["vocab"].values(), *special.values()]) + 1)
+    for token, k in spec["model"]["vocab"].items():
+        out[k] = bytes(alphabet[c] for c in token)
+    for token, k in special.items():
+        out[k] = token.encode()
+    return out
+
+
 class Vocabulary:
     """Merges and tokens of a byte-level BPE file in the tokenizers library's JSON form."""
 
@@ -49,11 +61,6 @@ class Vocabulary:
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, k in vocab.items():
-            self.bytes_of[k] = bytes(alphabet[c] for c in token)
-        for token, k in self.special.items():
-            self.bytes_of[k] = token.encode()
         self.byte_id = np.zeros(256, np.int64)
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
@@ -149,7 +156,7 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
 class Encoder:
     """Encodes texts; `room` bounds the kept pre-tokens, beyond it the table starts anew."""
 
-    def __init__(self, vocab: Vocabulary, room: int = 250_000, batch_chars: int = 4_000_000):
+    def __init__(self, vocab: Vocabulary, room: int = 200_000, batch_chars: int = 2_000_000):
         self.vocab, self.room, self.batch_chars = vocab, room, batch_chars
         self.known: dict[str, bytes] = {}
 
@@ -185,22 +192,25 @@ class Encoder:
             at = upto
         return out
 
-    def decode_bytes(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocab.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def decode(self, ids: bytes) -> str:
-        """Text of the ids; byte sequences that are no UTF-8 become U+FFFD."""
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+def decode(ids: bytes, bytes_of: list[bytes]) -> str:
+    """Text of little-endian 32-bit ids; byte sequences that are no UTF-8 become U+FFFD."""
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+_kept: dict[tuple, object] = {}
 
 
-_encoders: dict[int, Encoder] = {}
+def _once(shared, make):
+    """One encoder or decoding table per worker and vocabulary."""
+    k = (make.__name__, shared.value[0])
+    if k not in _kept:
+        _kept[k] = make(shared.value[1])
+    return _kept[k]
 
 
-def _encoder(shared) -> Encoder:
-    """One encoder per worker and vocabulary."""
-    if shared.value[0] not in _encoders:
-        _encoders[shared.value[0]] = Encoder(Vocabulary(shared.value[1]))
-    return _encoders[shared.value[0]]
+def encoder(data: str) -> Encoder:
+    return Encoder(Vocabulary(data))
 
 
 def _share(df: DataFrame, path: str):
@@ -215,10 +225,10 @@ def bpe_encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     shared = _share(df, path)
 
     def each(part):
-        ids = _encoder(shared).encode(part.column(text).to_pylist())
+        ids = _once(shared, encoder).encode(part.column(text).to_pylist())
         return {key: part.column(key), "ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
-    return arrow_map(df.select(key, text), each, f"{key} long,ids binary,n_tokens long", 2048)
+    return arrow_map(df.select(key, text), each, f"{key} long,ids binary,n_tokens long", 1024)
 
 
 def bpe_decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -226,7 +236,7 @@ def bpe_decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     shared = _share(df, path)
 
     def each(part):
-        encoder, stored = _encoder(shared), [x or b"" for x in part.column(ids).to_pylist()]
-        return {key: part.column(key), "n_tokens": [len(x) // 4 for x in stored], "ids_sha256": [sha(x) for x in stored], "text": [encoder.decode(x) for x in stored]}
+        bytes_of, stored = _once(shared, token_bytes), [x or b"" for x in part.column(ids).to_pylist()]
+        return {key: part.column(key), "n_tokens": [len(x) // 4 for x in stored], "ids_sha256": [sha(x) for x in stored], "text": [decode(x, bytes_of) for x in stored]}
 
-    return arrow_map(df.select(key, ids), each, f"{key} long,n_tokens long,ids_sha256 string,text string")
+    return arrow_map(df.select(key, ids), each, f"{key} long,n_tokens long,ids_sha256 string,text string", 1024)

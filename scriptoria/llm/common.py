@@ -70,3 +70,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch, where whole texts go through Python: bounds the workers' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

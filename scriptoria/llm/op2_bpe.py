@@ -1,9 +1,10 @@
 """Query op2: every document encoded to ids and decoded again."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptoria.llm import bpe
-from scriptoria.llm.common import arrow_map, sha, table
+from scriptoria.llm.common import small_batches, table
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -14,10 +15,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = vocabulary_path()
     decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
-
-    def each(part):
-        return {n: part.column(n) for n in ("doc_id", "n_tokens", "ids_sha256")} | {"decoded_sha256": [sha(t.encode()) for t in part.column("text").to_pylist()]}
-
-    return arrow_map(decoded, each, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string")
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
