@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptoria.llm import op1_tiff, op2_bpe, op5_warc, op6_mix, op8_pii, op10_langid
+from scriptoria.llm import op1_tiff, op2_bpe, op5_warc, op6_mix, op8_pii, op9_hnsw, op10_langid
 
-MODULES = (op1_tiff, op2_bpe, op5_warc, op6_mix, op8_pii, op10_langid)
+MODULES = (op1_tiff, op2_bpe, op5_warc, op6_mix, op8_pii, op9_hnsw, op10_langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
