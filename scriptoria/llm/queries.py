@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptoria.llm import op1_tiff, op2_bpe, op4_jaccard, op5_warc, op6_mix, op7_lm, op8_pii, op9_hnsw, op10_langid
+from scriptoria.llm import op1_tiff, op2_bpe, op3_html, op4_jaccard, op5_warc, op6_mix, op7_lm, op8_pii, op9_hnsw, op10_langid
 
-MODULES = (op1_tiff, op2_bpe, op4_jaccard, op5_warc, op6_mix, op7_lm, op8_pii, op9_hnsw, op10_langid)
+MODULES = (op1_tiff, op2_bpe, op3_html, op4_jaccard, op5_warc, op6_mix, op7_lm, op8_pii, op9_hnsw, op10_langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
