@@ -370,6 +370,17 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 8, den: int = 10, k
     return docs.join(of_set, ["sid", "check"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, size: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each component: that of the least id.
+
+    Of rows equal in id and text one stays; rows without an id stay, one for each text.
+    """
+    found = near_duplicates(df, size, num, den, key, text)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct().withColumn("_kept", F.lit(True))
+    rows = df.join(kept, key, "left").where(F.col("_kept") | F.col(key).isNull()).drop("_kept")
+    return rows.withColumn("_text", F.xxhash64(text)).dropDuplicates([key, "_text"]).select(*df.columns)
+
+
 def _entries(bands: list[Band], n: int, t: Threshold) -> int:
     k = band_of(bands, n)
     return sum(min(max(0, most_differing(t, n, b.hi) + 1 - 2 * b.near), b.exact) + b.near + (n * b.near // b.segments) for b in bands[k : k + 2])

@@ -190,3 +190,16 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return arrow_map(df.select(key, text), each, f"{key} long,lang_pred string,score double")
 
 
+
+
+def accept(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a learned language with a score of `least` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text)
+
+    def run(batches):
+        for part in slices(batches):
+            got = [shared.value.predict(t) for t in part.column(place).to_pylist()]
+            yield part.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in got], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -35,8 +35,8 @@ def source_key(source: Column) -> Column:
 def tempered_units(counts: DataFrame, power: float = 0.5, units: int = UNITS) -> DataFrame:
     """(key, units): weights in proportion to rows**power, in units; `counts` has (key, n)."""
     w = F.pow(F.col("n").cast("double"), F.lit(power))
-    total = counts.agg(F.sum(w).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select("key", F.greatest(F.lit(1), F.floor(F.lit(units) * w / F.col("_total") + 0.5)).cast("long").alias("units"))
+    total = F.sum(w).over(Window.partitionBy())  # over one row a source
+    return counts.select("key", F.greatest(F.lit(1), F.floor(F.lit(units) * w / total + 0.5)).cast("long").alias("units"))
 
 
 def schedule(weights: DataFrame) -> DataFrame:

@@ -398,4 +398,4 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 def with_length(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """`length` brought up to date after a change of the text, where the frame has it."""
-    return df.withColumn(length, F.char_length(text).cast(df.schema[length].dataType)) if length in df.columns else df
+    return df.withColumn(length, F.coalesce(F.char_length(text).cast(df.schema[length].dataType), F.col(length))) if length in df.columns else df
