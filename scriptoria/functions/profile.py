@@ -10,6 +10,17 @@ JAVA_SPACE = r"\t\n\x0B\f\r\x1C-\x20\x85   -     　"
 JAVA_DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
 
 
+def ranges(chars: str) -> str:
+    """The characters as ranges of a character class: engines test a range faster than its members."""
+    codes, out = sorted(set(map(ord, chars))), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}{chr(b)}" if b == a + 1 else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 @dataclass(frozen=True)
 class AlphabetProfile:
     """`letters` lists the lower-case letters in the order in which spelling edits try them."""
@@ -26,7 +37,7 @@ class AlphabetProfile:
     @property
     def letter_class(self) -> str:
         """Both cases of the letters, to stand in a character class of Java, RE2 or Python."""
-        return self.letters.upper() + self.letters
+        return ranges(self.letters.upper() + self.letters)
 
     @property
     def token_pattern(self) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptoria.functions.profile import CYRILLIC, JAVA_DIGIT, JAVA_SPACE, AlphabetProfile
+from scriptoria.functions.profile import CYRILLIC, JAVA_DIGIT, JAVA_SPACE, AlphabetProfile, ranges
 
 
 def bound(value: Column, use) -> Column:
@@ -59,7 +61,7 @@ def rewrite_tokens(text: Column, rewrite, profile: AlphabetProfile = CYRILLIC) -
 
 def allowed_only(text: Column, profile: AlphabetProfile = CYRILLIC) -> Column:
     """Letters of the profile, digits, white space and its punctuation; all else goes."""
-    return F.regexp_replace(text, f"[^{profile.letter_class}{JAVA_DIGIT}{JAVA_SPACE}{profile.punctuation_class}]", "")
+    return F.regexp_replace(text, f"[^{profile.letter_class}0-9{profile.punctuation_class}{JAVA_SPACE}{JAVA_DIGIT}]+", "")
 
 
 def tidy(text: Column) -> Column:
@@ -68,15 +70,37 @@ def tidy(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"[{JAVA_SPACE}]+([,.;:!?%])", "$1"))
 
 
+def without_foreign(text: Column, profile: AlphabetProfile = CYRILLIC) -> Column:
+    """Look-alikes mapped and the other foreign letters gone, in one pass: the token rules drop those in any case."""
+    other = "".join(c for c in string.ascii_letters if c not in profile.confusable_from) if profile.foreign else ""
+    return F.translate(text, profile.confusable_from + other, profile.confusable_to) if profile.confusable_from + other else text
+
+
+def needs_tokens(mapped: Column, profile: AlphabetProfile = CYRILLIC) -> Column:
+    """Whether a token mixes letters with digits, or has a capital after its first letter and a small one.
+
+    `mapped` holds no foreign letters. Without such a token the token rules change nothing.
+    """
+    small, capital = f"[{ranges(profile.letters)}]", f"[{ranges(profile.letters.upper())}]"
+    return mapped.rlike(f"{small}(?:{capital}|[0-9])|{capital}(?:{capital}++{small}|[0-9])|[0-9][{profile.letter_class}]")
+
+
 def normalize(text: Column, profile: AlphabetProfile = CYRILLIC) -> Column:
-    """Visual normalization of recognized text: look-alikes, case, alphabet, white space."""
-    mapped = map_confusables(text, profile)
-    return tidy(allowed_only(rewrite_tokens(mapped, lambda t: correct_token(t, profile), profile), profile))
+    """Visual normalization of recognized text: look-alikes, case, alphabet, white space.
+
+    Rows whose tokens need no rule of their own, the great majority, take whole-text replacements only;
+    the rewrite token by token is evaluated for the others.
+    """
+
+    def rules(mapped: Column) -> Column:
+        return F.when(needs_tokens(mapped, profile), rewrite_tokens(mapped, lambda t: correct_token(t, profile), profile)).otherwise(mapped)
+
+    return tidy(allowed_only(bound(without_foreign(text, profile), rules), profile))
 
 
 def normalize_lite(text: Column, profile: AlphabetProfile = CYRILLIC) -> Column:
     """The light profile of small devices: look-alikes, ASCII digits, alphabet, blanks; no token rules."""
-    kept = F.regexp_replace(map_confusables(text, profile), f"[^{profile.letter_class}0-9{JAVA_SPACE}{profile.punctuation_class}]", "")
+    kept = F.regexp_replace(map_confusables(text, profile), f"[^{profile.letter_class}0-9{JAVA_SPACE}{profile.punctuation_class}]+", "")
     return strip(F.regexp_replace(kept, "[ \\t]+", " "))
 
 

@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much work: dealt out to all cores where its files make fewer partitions than there are."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micro(c: Column) -> Column:
     """Six decimals, so that sums in another order compare equal."""
     return F.round(c, 6)
@@ -57,12 +63,12 @@ _CORRECTED = (
 
 @query(f"SELECT doc_id, {_MAPPED} AS mapped FROM documents")
 def map_confusables(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.map_confusables(F.col("text")).alias("mapped"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.map_confusables(F.col("text")).alias("mapped"))
 
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_TOKEN}')) AS INTEGER) AS n_tokens FROM documents")
 def tokenize_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
 
 
 _NORMALIZED = f"""
@@ -76,7 +82,7 @@ SELECT doc_id, trim(t, E' \\t\\n\\r') AS normalized, CAST(len(regexp_extract_all
 
 @query(_NORMALIZED)
 def normalize_visual(spark, sf_dir):
-    out = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+    out = texts(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
     return out.withColumn("n_tokens", F.size(T.tokens(F.col("normalized"))))
 
 
@@ -84,7 +90,7 @@ def normalize_visual(spark, sf_dir):
     f"SELECT doc_id, trim(regexp_replace(regexp_replace({_MAPPED}, '[^{_L}0-9\\s{_PUNCT}]', '', 'g'), '[ \\t]+', ' ', 'g'), E' \\t\\n\\r') AS normalized FROM documents"
 )
 def normalize_lite(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_lite(F.col("text")).alias("normalized"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.normalize_lite(F.col("text")).alias("normalized"))
 
 
 @query(f"""
@@ -93,7 +99,7 @@ e AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, z[i] AS x FROM (SELECT doc_i
 SELECT doc_id, pos, x AS token, {_CORRECTED} AS corrected FROM e WHERE regexp_matches(x, '[{_L}]') AND regexp_matches(x, '[0-9]')
 """)
 def digit_lookalikes(spark, sf_dir):
-    mapped = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.map_confusables(F.col("text"))).alias("z"))
+    mapped = texts(spark, sf_dir, "documents").select("doc_id", T.tokens(T.map_confusables(F.col("text"))).alias("z"))
     each = mapped.select("doc_id", F.posexplode("z").alias("pos", "token")).where(F.col("token").rlike(f"[{_L}]") & F.col("token").rlike("[0-9]"))
     return each.withColumn("corrected", T.correct_token(F.col("token")))
 
@@ -106,7 +112,7 @@ def case_restore_histogram(spark, sf_dir):
     x = F.col("x")
     head, rest = F.substring(x, 1, 1), F.substring(x, 2, 1 << 30)
     kind = F.when(x == F.lower(x), "lower").when(x == F.upper(x), "upper").when((head == F.upper(head)) & (rest == F.lower(rest)), "title").otherwise("mixed")
-    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("x")).groupBy(kind.alias("case_class")).agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("x")).groupBy(kind.alias("case_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -521,7 +527,7 @@ _SENTENCES = f"SELECT doc_id, line, text FROM (SELECT *, row_number() OVER (PART
 
 
 def _sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
 @query(_SENTENCES)
