@@ -7,6 +7,19 @@ import os
 from pyspark.sql import SparkSession
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, unless their path is set.
+
+    Workers of a cluster get the package with the job (--py-files, or an installed wheel).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -22,4 +35,4 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return reachable(spark)
