@@ -130,13 +130,13 @@ def lzw_encode(data: bytes) -> bytes:
             put(256)
             table = {bytes([i]): i for i in range(256)}
             width, following = 9, 258
-        elif following >= (1 << width) - 1:
+        elif following >= 1 << width:  # the reader's table is one entry behind
             width += 1
         held = bytes([value])
     if held:
         put(table[held])
         following += 1
-        if following >= (1 << width) - 1 and width < 12:
+        if following >= 1 << width and width < 12:
             width += 1
     put(257)
     if bits:
