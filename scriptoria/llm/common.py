@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
@@ -67,9 +68,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage there."""
+    """Materialise in the shared folder and cut the lineage there.
+
+    The shuffle files behind it are of no more use. Spark's cleaner removes them when the driver's garbage
+    is collected, which a driver with little to do puts off; so it is asked for here.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

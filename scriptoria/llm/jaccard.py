@@ -14,12 +14,15 @@ Equal sets are one set with one key (64 bits of a digest; the verification below
 digest of 128 bits tells sets apart), so copies cost one set. In the index, parts are packed by
 range of their hash; sets that share a part are candidates through a star around the smallest of
 them. Candidates are verified on the shingles of their texts. Where the stars leave sets of one part
-in different components, the remaining pairs across components are verified too, so no link between
-components is missed. Components come from distributed star contraction.
+in different components, their other pairs across components are compared too, in blocks of bounded size, so
+no link between components is missed: sketches of finer segments give an exact lower bound of the
+difference, and the pairs that it does not rule out are verified. Components come from distributed
+star contraction.
 
 Defined cases: a null text, or one without words, has the empty set and links with nothing; with fewer
 words than a shingle has, the whole sequence is the only shingle; repeated rows belong to the
-component of their text; a null id does not name a component; empty tables give no rows; other columns
+component of their text; a null id does not name a component, and a text that only such rows have links
+with equal texts alone; empty tables give no rows; other columns
 are not read.
 """
 
@@ -93,6 +96,19 @@ def digests(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A byte for each of 2**k equal segments, one to two for a shingle: the sum of its hashes.
+
+    Sets differ in at least as many shingles as segments in which their bytes differ; adding neighbouring
+    bytes gives the sketch of half as many segments.
+    """
+    bits = max(4, len(s).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ _M3) >> np.uint64(56))))
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
+    return (sums[at[1:]] - sums[at[:-1]]).astype(np.uint8).tobytes()
+
+
 # ---------------------------------------------------------------- bands and their segments
 
 
@@ -333,6 +349,103 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, t: Threshold) -> Dat
     return arrow_map(joined, each, "a long,b long,ok boolean", 64).where("ok").select("a", "b")
 
 
+#: Sets of one block of a family of parts; two blocks are compared in one piece of work.
+BLOCK = 512
+#: Slots of the filter that thins out texts before they are shuffled; a table of at most so many longs.
+SLOTS = 1 << 18
+
+
+def _blocks_compared(t: Threshold, best: int | None):
+    """Pairs of sets of different components that their sketches do not rule out, for one pair of blocks after another.
+
+    With `best`, so many pairs of each two components, those that differ least by their sketches.
+    """
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch | None:
+        sid, n, root = (rows.column(c).to_numpy() for c in ("sid", "n", "root"))
+        raw = rows.column("sketch").to_pylist()
+        width = min(map(len, raw))
+        sketches = np.stack([np.add.reduce(np.frombuffer(b, np.uint8).reshape(width, -1), axis=1, dtype=np.uint8) for b in raw])
+        first = np.flatnonzero(rows.column("own").to_numpy() == rows.column("i").to_numpy())
+        second = first if rows.column("i")[0] == rows.column("j")[0] else np.flatnonzero(rows.column("own").to_numpy() == rows.column("j").to_numpy())
+        found: list[np.ndarray] = []
+        step = max(1, 2_000_000 // max(1, len(second)))
+        most_bytes = max(1, 8_000_000 // width)
+        for lo in range(0, len(first), step):
+            x = first[lo : lo + step]
+            total = n[x][:, None] + n[second][None, :]
+            most = total - 2 * -(-t.num * total // (t.num + t.den))
+            near = (root[x][:, None] != root[second][None, :]) & (np.abs(n[x][:, None] - n[second][None, :]) <= most)
+            if first is second:
+                near &= x[:, None] < second[None, :]
+            p, q = np.nonzero(near)
+            for at in range(0, len(p), most_bytes):
+                pp, qq = p[at : at + most_bytes], q[at : at + most_bytes]
+                i, j = x[pp], second[qq]
+                differ = (sketches[i] != sketches[j]).sum(axis=1)
+                good = differ <= most[pp, qq]
+                i, j = i[good], j[good]
+                found.append(np.stack((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), differ[good]), axis=1))
+        got = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        if best is not None and len(got):
+            got = got[np.lexsort((got[:, 1], got[:, 0], got[:, 4], got[:, 3], got[:, 2]))]
+            fresh = np.concatenate(([True], (got[1:, 2:4] != got[:-1, 2:4]).any(axis=1)))
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(got)), 0))
+            got = got[np.arange(len(got)) - start < best]
+        got = np.unique(got[:, :2], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=out) if len(got) else None
+
+    def run(batches):
+        held: list[pa.Table] = []  # rows of the key that the last batch ended in
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys = np.stack([rows.column(c).to_numpy() for c in ("family", "i", "j")], axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                key = tuple(keys[lo].tolist())
+                if key != last and held:
+                    if (got := pairs(pa.concat_tables(held).combine_chunks())) is not None:
+                        yield got
+                    held = []
+                held.append(rows.slice(lo, hi - lo))
+                last = key
+        if held and (got := pairs(pa.concat_tables(held).combine_chunks())) is not None:
+            yield got
+
+    return run
+
+
+def unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(family, sid, n, root): the sets of parts (grp, sid, n) whose sets are in several components.
+
+    Parts with the same least component are one family, as the parts of one group of near copies mostly
+    are; so a pair that shares many parts is compared once.
+    """
+    members = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    split = members.groupBy("grp").agg(F.min("root").alias("family"), F.max("root").alias("hi")).where("family <> hi").select("grp", "family")
+    return members.join(split, "grp").select("family", "sid", "n", "root").distinct()
+
+
+def sketches_of(texts: DataFrame, size: int) -> DataFrame:
+    def each(part):
+        return {"sid": part.column("sid"), "sketch": [sketch(shingles(x, size)) for x in part.column("text").to_pylist()]}
+
+    return arrow_map(texts, each, "sid long,sketch binary")
+
+
+def across_components(families: DataFrame, sketches: DataFrame, t: Threshold, best: int | None) -> DataFrame:
+    """Candidate pairs (a, b) between components, of the families (family, sid, n, root)."""
+    blocks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rest = families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rest = rest.join(sketches, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "n", "root", "sketch")
+    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_blocks_compared(t, best), "a long,b long").distinct()
+
+
 def near_duplicates(df: DataFrame, size: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least id reachable by links of num/den or more."""
     t = Threshold(num, den)
@@ -344,30 +457,40 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 8, den: int = 10, k
     buckets = max(1, -(-total // BUCKET_ENTRIES))
     found = cut(candidates(index(df, size, bands, t, int(buckets), text), t))
     pairs = found.where("grp is null").select("a", "b")
-    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text"))
+    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS))
+    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).withColumn("slot", slot)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(sid, text) of distinct sids (sid)."""
+        reps = cut(sets.join(wanted, "sid", "left_semi").select("sid", "rep"))
+        slots = reps.select(slot.alias("slot")).distinct()  # SLOTS rows at most
+        thinned = texts.join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+        return thinned.join(reps, "rep").dropDuplicates(["sid", "rep"]).select("sid", "text")
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        reps = sets.join(wanted, "sid", "left_semi").select("sid", "rep")
-        return cut(verified(pairs, texts.join(reps, "rep").dropDuplicates(["sid", "rep"]).select("sid", "text"), size, t))
+        return cut(verified(pairs, texts_of(wanted), size, t))
 
-    links = check(pairs)
+    links, tested = check(pairs), pairs
     roots = cut(components(links))
     groups = found.where("grp is not null").select("grp", F.col("a").alias("sid"), "n").distinct()
-    members = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    split = members.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-    rest = members.join(split, "grp", "left_semi")
-    x, y = rest.select("grp", F.col("sid").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar")), rest.select("grp", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    linkable = (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & (F.least("an", "bn") * t.den >= F.greatest("an", "bn") * t.num)
-    across = cut(x.join(y, "grp").where(linkable).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
+    sketches = None
+    for best in (1, 8, None):  # few pairs of each two components first: most merge; at last all that are left
+        families = cut(unsettled(groups, roots))
+        if sketches is None:
+            sketches = cut(sketches_of(texts_of(families.select("sid").distinct()), size))
+        across = cut(across_components(families, sketches, t, best).join(tested, ["a", "b"], "left_anti"))
+        if across.isEmpty():
+            continue
         more = check(across)
+        tested = tested.unionByName(across)
         if not more.isEmpty():
-            roots = cut(components(links.unionByName(more)))
-    named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+            links = links.unionByName(more)
+            roots = cut(components(links))
+    named = sets.select("sid", "check", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = named.join(least, "root").select("sid", "check", "component_id")
-    return docs.join(of_set, ["sid", "check"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return docs.select("doc_id", "n", "sid", "check").join(of_set, ["sid", "check"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, size: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
