@@ -30,7 +30,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pfair.in_order(pfair.mix(docs)).select(*docs.columns)
+    return pfair.in_order(pfair.mix(docs, prefix="_mix_"), prefix="_mix_").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

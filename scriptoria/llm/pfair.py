@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Weight units to which target weights are resolved.
 UNITS = 1000
 BLOCK_ROWS = 8
+#: Columns that `mix` adds.
+ADDED = ("block", "slot", "release", "deadline")
 
 
 def source_key(source: Column) -> Column:
@@ -71,15 +73,15 @@ def prefix_digits(rows: int) -> int:
     return digits
 
 
-def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, power: float = 0.5, digits: int | None = None) -> DataFrame:
-    """All rows and columns, with block, slot, release and deadline of each row.
+def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, power: float = 0.5, digits: int | None = None, prefix: str = "") -> DataFrame:
+    """All rows and columns, with block, slot, release and deadline of each row, under names that begin with `prefix`.
 
     `weights` has (key, units), the key as `source_key` makes it; by default units follow rows**power.
     Rows of a source are taken in the order of their id's digest.
     """
     digits = digits or prefix_digits(df.count())
     digest = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"), 256), 1, 16)
-    rows = df.drop("block", "slot", "release", "deadline").withColumn("_key", source_key(F.col(source))).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
+    rows = df.drop(*(prefix + c for c in ADDED)).withColumn("_key", source_key(F.col(source))).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
     counts = rows.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     if weights is None:
@@ -89,17 +91,17 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Dat
     offsets = counts.select("_key", "_part", before.alias("_before")).join(F.broadcast(plan), "_key")
     order = Window.partitionBy("_key", "_part").orderBy("_digest", key)
     placed = rows.join(offsets, ["_key", "_part"]).withColumn("_at", F.col("_before") + F.row_number().over(order) - 1)
-    block = F.floor(F.col("_at") / block_rows).cast("long")
-    a, p = F.col("_a"), F.col("_p")
+    block, a, p = F.floor(F.col("_at") / block_rows).cast("long"), F.col("_a"), F.col("_p")
+    b = F.col(prefix + "block")
     return (
-        placed.withColumn("block", block)
-        .withColumn("slot", F.floor(F.col("block") / a) * p + F.get(F.col("_slots"), (F.col("block") % a).cast("int")))
-        .withColumn("release", F.floor(F.col("block") * p / a))
-        .withColumn("deadline", F.ceil((F.col("block") + 1) * p / a))
+        placed.withColumn(prefix + "block", block)
+        .withColumn(prefix + "slot", F.floor(b / a) * p + F.get(F.col("_slots"), (b % a).cast("int")))
+        .withColumn(prefix + "release", F.floor(b * p / a))
+        .withColumn(prefix + "deadline", F.ceil((b + 1) * p / a))
         .drop("_key", "_digest", "_part", "_before", "_a", "_p", "_slots", "_at")
     )
 
 
-def in_order(df: DataFrame, key: str = "doc_id") -> DataFrame:
+def in_order(df: DataFrame, key: str = "doc_id", prefix: str = "") -> DataFrame:
     """Rows sorted over all partitions by slot, then id; the schedule's columns go."""
-    return df.orderBy("slot", "block", key).drop("block", "slot", "release", "deadline")
+    return df.orderBy(prefix + "slot", prefix + "block", key).drop(*(prefix + c for c in ADDED))
