@@ -116,9 +116,9 @@ def case_restore_histogram(spark, sf_dir):
 
 
 @query("""
-SELECT item_id, array_to_string(list_reduce(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''),
-  lambda a, w: a || CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(w) > 30 THEN chr(10) ELSE ' ' END || w), '') AS wrapped FROM benchmark
-""".replace("array_to_string(list_reduce", "(list_reduce").replace("|| w), '')", "|| w))"))
+SELECT item_id, list_reduce(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''),
+  lambda a, w: a || CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(w) > 30 THEN chr(10) ELSE ' ' END || w) AS wrapped FROM benchmark
+""")
 def wrap_text(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.wrap(F.col("text"), 30), "\n").alias("wrapped"))
 
@@ -568,7 +568,9 @@ def dataset_manifest(spark, sf_dir):
     return out.where(F.size("labels") > 0).select("index", "image", "transcript", F.array_join("labels", "\n").alias("labels"))
 
 
-@query("SELECT p.page, i.i AS panel, n.n_name AS phrase FROM (SELECT DISTINCT CAST(page AS INTEGER) AS page FROM (SELECT p_partkey // 20 AS page FROM part)) p, range(3) i(i) JOIN nation n ON n.n_nationkey = (p.page * 3 + i.i) % 25".replace("FROM (SELECT DISTINCT", "FROM (SELECT DISTINCT").replace("i.i AS panel", "CAST(i.i AS INTEGER) AS panel"))
+@query("""
+SELECT p.page, CAST(i.i AS INTEGER) AS panel, n.n_name AS phrase FROM (SELECT DISTINCT CAST(p_partkey // 20 AS INTEGER) AS page FROM part) p, range(3) i(i) JOIN nation n ON n.n_nationkey = (p.page * 3 + i.i) % 25
+""")
 def phrase_pick(spark, sf_dir):
     pages = boxes(spark, sf_dir).select(F.col("page").cast("int").alias("page")).distinct().withColumn("panel", F.explode(F.sequence(F.lit(0), F.lit(2))))
     phrases = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("phrase"))

@@ -39,6 +39,24 @@ def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUF
     return pages.join(files.select("path", "content"), "path").select("page", "name", "path", "content")
 
 
+def pixels(spark: SparkSession, path: str, natural: bool = True) -> DataFrame:
+    """page, name, data, height, width, channels (BGR bytes) by Spark's image source; unreadable files keep their number and have null data."""
+    found = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    name = F.element_at(F.split("origin", "/"), -1)
+    listed = found.select("origin", name.alias("name"))
+    order = [natural_key(F.col("name"))] if natural else []
+    numbered = listed.withColumn("page", F.row_number().over(Window.orderBy(*order, "name", "origin")).cast("long"))
+    bad = F.col("height") < 0
+    out = found.select("origin", *(F.when(~bad, F.col(c)).alias(c) for c in ("data", "height", "width")), F.when(~bad, F.col("nChannels")).alias("channels"))
+    return numbered.join(out, "origin").select("page", "name", "data", "height", "width", "channels")
+
+
+def cropped_rows(height, top: int, bottom: int):
+    """struct(top, bottom) of the rows kept: top within the page, bottom 0 for all."""
+    first = F.greatest(F.lit(0), F.least(F.lit(top), height - 1))
+    return F.struct(first.alias("top"), (height if bottom <= 0 else F.least(F.lit(bottom), height)).alias("bottom"))
+
+
 def dictionary(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """class_id, ch: a character a line from class 1, class 0 being the blank; `extra` characters follow."""
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r?\n$", "").alias("value"))

@@ -103,3 +103,36 @@ def test_keep_latest(spark, tmp_path):
     q = stream.keep_latest(spark.readStream.schema("s string, seq int, v string").json(str(tmp_path / "in")), ["s"], ["seq"], lambda df, k: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sorted(seen) == [("a", 2, "y"), ("b", 1, "z")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scriptoria.__main__ import main
+
+    (tmp_path / "in.txt").write_text("TeKcTa , x\nроверка\n", encoding="utf-8")
+    (tmp_path / "lex.tsv").write_text("Lemma\tFreq(ipm)\nпроверка\t900\n", encoding="utf-8")
+    main(["normalize", str(tmp_path / "in.txt"), str(tmp_path / "a")], spark)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "a")).collect()) == ["Текста, х", "роверка"]
+    main(["normalize", str(tmp_path / "in.txt"), str(tmp_path / "b"), "--lexicon", str(tmp_path / "lex.tsv")], spark)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "b")).collect()) == ["Текста, х", "проверка"]
+    (tmp_path / "r.json").write_text('{"engine": "e", "page": 1, "text": "аб", "latency_sec": 0.5}\n', encoding="utf-8")
+    (tmp_path / "m.json").write_text('[{"page": 1, "text": "ав"}]', encoding="utf-8")
+    main(["score", str(tmp_path / "r.json"), str(tmp_path / "m.json"), str(tmp_path / "out")], spark)
+    assert '"mean_cer":0.5' in capsys.readouterr().out
+
+
+def test_image_source(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(w, h, rgb):
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        raw = (b"\0" + bytes(rgb) * w) * h
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    (tmp_path / "p10.png").write_bytes(png(3, 2, (10, 20, 30)))
+    (tmp_path / "p2.png").write_bytes(b"broken")
+    out = readers.pixels(spark, str(tmp_path)).orderBy("page").collect()
+    assert [(r["page"], r["name"], r["data"] is None) for r in out] == [(1, "p2.png", True), (2, "p10.png", False)]
+    assert (out[1]["height"], out[1]["width"], out[1]["channels"], bytes(out[1]["data"][:3])) == (2, 3, 3, bytes([30, 20, 10]))
+    rows = spark.range(1).select(readers.cropped_rows(F.lit(10), 3, 0).alias("a"), readers.cropped_rows(F.lit(10), 30, 50).alias("b")).first()
+    assert tuple(rows["a"]) == (3, 10) and tuple(rows["b"]) == (9, 10)
