@@ -118,3 +118,11 @@ def test_query_and_empty_table(spark, sf_dir):
     assert {r[0]: (r[1], r[2]) for r in run(spark, sf_dir).collect()} == brute(docs, 3, 90, 100)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert J.near_duplicates(empty).count() == 0
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    from sql import connect, same
+
+    from scriptoria.llm import op4_jaccard
+
+    assert same(op4_jaccard.run(spark, sf_dir), connect(sf_dir), op4_jaccard.ORACLE_SQL) == 200
