@@ -156,7 +156,7 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
 class Encoder:
     """Encodes texts; `room` bounds the kept pre-tokens, beyond it the table starts anew."""
 
-    def __init__(self, vocab: Vocabulary, room: int = 200_000, batch_chars: int = 2_000_000):
+    def __init__(self, vocab: Vocabulary, room: int = 120_000, batch_chars: int = 2_000_000):
         self.vocab, self.room, self.batch_chars = vocab, room, batch_chars
         self.known: dict[str, bytes] = {}
 

@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import arrow_map, cut, slices
+from scriptoria.llm.common import arrow_map, cut, slices, trim
 from scriptoria.llm.components import components
 
 #: Entries of the index that a bucket holds on average.
-BUCKET_ENTRIES = 600_000
+BUCKET_ENTRIES = 300_000
 #: Hashed words a worker keeps.
-ROOM = 300_000
+ROOM = 100_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -267,6 +267,7 @@ def index(df: DataFrame, size: int, bands: list[Band], t: Threshold, buckets: in
 
     def run(batches):
         seen: set[int] = set()
+        _hashes.clear()
         for part in slices(batches, 1024):
             keys, sids, sizes = [], [], []
             for text_ in part.column(0).to_pylist():
@@ -276,7 +277,7 @@ def index(df: DataFrame, size: int, bands: list[Band], t: Threshold, buckets: in
                 sid = digests(s)[0]
                 if sid in seen:
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(sid)
                 k = signatures(s, bands, t)
@@ -317,6 +318,7 @@ def candidates(entries: DataFrame, t: Threshold) -> DataFrame:
             return _FOUND.empty_table()
         first = np.repeat(starts, length)
         member = first + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        trim()
         linkable = (member != first) & (n[first] * t.den >= n[member] * t.num)
         pairs = np.unique(np.stack((np.minimum(sid[first], sid[member]), np.maximum(sid[first], sid[member])), axis=1)[linkable], axis=0)
         # parts of three sets or more, each list of sets once

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import arrow_map, slices
+from scriptoria.llm.common import arrow_map, slices, small_batches
 
 BITS = 15
 SIZE = 1 << BITS
@@ -71,6 +71,7 @@ def vector(found: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.nd
 def document_frequencies(df: DataFrame, text: str = "text", ways: int = 16) -> tuple[np.ndarray, int]:
     """Rows holding each feature, and rows with a letter, over the whole frame; `ways` partial sums reach the driver."""
     schema = "n long,df binary"
+    small_batches(df.sparkSession)
 
     def each(batches):
         total, n = np.zeros(SIZE, np.int64), 0
@@ -192,8 +193,14 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 
-def accept(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a learned language with a score of `least` or more."""
+def accept(df: DataFrame, model: Model, margin: float = 1.2, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a learned language and a score of `margin` times chance or more.
+
+    So texts without a letter go, and those that no language fits better than another; short texts that
+    fit one language a little better stay.
+    """
+    small_batches(df.sparkSession)
+    least = min(1.0, margin / max(1, len(model.labels)))
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import arrow_map, sha, slices
+from scriptoria.llm.common import arrow_map, sha, slices, small_batches
 
 #: Base kinds in their listed order, then the kinds that only the method finds.
 BASE = ("email", "ip", "card", "phone")
@@ -384,6 +384,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with the spans of `text` masked; a null text stays null."""
     shared = df.sparkSession.sparkContext.broadcast(detector())
     place, schema = df.columns.index(text), df.schema
+    small_batches(df.sparkSession)
 
     def run(batches):
         for part in slices(batches):
