@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -24,15 +26,24 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def trim() -> None:
+    """Give freed memory back: a worker outlives its task and shares its executor with others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its own counsel
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
 
 
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow over bounded slices; `each` gives a dict of columns for one slice."""
     target = to_arrow(schema)
+    small_batches(df.sparkSession)
 
     def run(batches):
         for part in slices(batches, rows):
@@ -73,14 +84,21 @@ def cut(df: DataFrame) -> DataFrame:
     The shuffle files behind it are of no more use. Spark's cleaner removes them when the driver's garbage
     is collected, which a driver with little to do puts off; so it is asked for here.
     """
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df  # else the plan, and with it the shuffle files, would outlive the collection
+    release(spark)
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of finished steps whose plans nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch, where whole texts go through Python: bounds the workers' memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:

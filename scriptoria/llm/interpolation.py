@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import cut
+from scriptoria.llm.common import cut, release
 
 CHUNK_BYTES = 6_000_000
 BUCKETS, GRID = 24, 64
@@ -262,8 +262,10 @@ def score(df: DataFrame, held_out: Column, deleted: Column, key: str = "doc_id",
     asked = docs.select("chunk", "text", "training").groupBy("chunk").applyInArrow(_requests(n), _ddl(_REQUEST))
     answers = cut(asked.groupBy("bucket").applyInArrow(_answers(n), _ddl(_ANSWER)))
     stats = answers.where("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "kept_types", "kept_tokens"))).first()
+    release(df.sparkSession)  # the shuffles behind the answers, now that the checkpoint's events are through
     mine = answers.where("chunk >= 0").select("chunk", "bucket", "uni", "bi")
     held = docs.where(F.col("chunk") >= n).select("chunk", "text", "training").groupBy("chunk").cogroup(mine.where(F.col("chunk") >= n).groupBy("chunk"))
     cells = held.applyInArrow(_histogram(int(stats[3])), _ddl(_CELLS)).groupBy("cell").agg(F.sum("n"), F.sum("f2"), F.sum("f1")).collect()
+    release(df.sparkSession)
     weights = maximise([tuple(c) for c in cells], int(stats[2]))
     return grouped.cogroup(mine.groupBy("chunk")).applyInArrow(_scores(int(stats[1]), int(stats[0]), weights), _ddl(_SCORES))
