@@ -135,7 +135,7 @@ WITH p AS (SELECT d.doc_id, b.item_id, {_COMPARABLE.format('b.text')} AS e, {_CO
 SELECT doc_id, item_id, CAST(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) AS INTEGER) AS distance, round(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) / greatest(1, length(e)), 6) AS cer FROM p
 """)
 def cer_pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("actual"), (F.col("doc_id") % 40).alias("item_id"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("actual"), (F.col("doc_id") % 40).alias("item_id"))
     both = docs.join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "expected"), "item_id")
     distance = F.levenshtein(T.comparable(F.col("expected")), T.comparable(F.col("actual")))
     return both.select("doc_id", "item_id", distance.alias("distance"), micro(T.cer(F.col("expected"), F.col("actual"))).alias("cer"))
