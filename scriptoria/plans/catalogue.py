@@ -130,13 +130,20 @@ _COMPARABLE = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 _BYTES = "translate({}, 'ßäçèéêíñóöüàâîôûëïùúáœ', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15) || chr(16) || chr(17) || chr(18) || chr(19) || chr(20) || chr(21) || chr(22) || chr(23) || chr(24) || chr(25) || chr(26) || chr(27))"
 
 
+def _expected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The benchmark as (place, item_id, expected), places from 0 in the order of item_id, and its number of items."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"))
+    return corpus.numbered(items, ["item_id"], "place"), max(1, items.count())
+
+
 @query(f"""
 WITH p AS (SELECT d.doc_id, b.item_id, {_COMPARABLE.format('b.text')} AS e, {_COMPARABLE.format('substr(d.text, 1, 60)')} AS a FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
 SELECT doc_id, item_id, CAST(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) AS INTEGER) AS distance, round(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) / greatest(1, length(e)), 6) AS cer FROM p
 """)
 def cer_pairs(spark, sf_dir):
-    docs = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("actual"), (F.col("doc_id") % 40).alias("item_id"))
-    both = docs.join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "expected"), "item_id")
+    items, n = _expected(spark, sf_dir)
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("actual"), (F.col("doc_id") % n).alias("place"))
+    both = docs.join(items, "place")
     distance = F.levenshtein(T.comparable(F.col("expected")), T.comparable(F.col("actual")))
     return both.select("doc_id", "item_id", distance.alias("distance"), micro(T.cer(F.col("expected"), F.col("actual"))).alias("cer"))
 
@@ -146,8 +153,9 @@ WITH p AS (SELECT {_COMPARABLE.format('b.text')} AS e, {_COMPARABLE.format('c.te
 SELECT count(*) AS pages, count(*) FILTER (WHERE e = a) AS exact_pages, round(sum(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) / greatest(1, length(e))) / greatest(1, count(*)), 6) AS mean_cer, count(*) FILTER (WHERE certain) AS certain_pages FROM p
 """)
 def exact_match_rate(spark, sf_dir):
-    talks = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 40).alias("item_id"), "text", (F.char_length("text") > 50).alias("certain"))
-    both = talks.join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "expected"), "item_id")
+    items, n = _expected(spark, sf_dir)
+    talks = table(spark, sf_dir, "conversations").select((F.col("conv_id") % n).alias("place"), "text", (F.char_length("text") > 50).alias("certain"))
+    both = talks.join(items, "place")
     e = T.comparable(F.col("expected"))
     rows = both.withColumns({"cer": T.cer(F.col("expected"), F.col("text")), "exact": e == T.comparable(F.col("text"))})
     return evaluate.chapter_report(rows).withColumn("mean_cer", micro(F.col("mean_cer")))

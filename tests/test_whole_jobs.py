@@ -39,3 +39,14 @@ def test_cer_reads_whole_texts(spark, tables):
         e = comparable(items[k % 40][1])
         d = distance(e, comparable(text))
         assert (out[k]["item_id"], out[k]["distance"], out[k]["cer"]) == (k % 40, d, round(d / len(e), 6))
+
+
+def test_every_benchmark_item_is_compared(spark, tables):
+    items = [(3 * k + 5, f"item {k} of many") for k in range(45)]
+    docs = [(k, f"item {k % 45} of  Many") for k in range(90)]
+    talks = [(k, 0, "user", t) for k, t in docs]
+    sf_dir = tables(benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string"), conversations=(talks, "conv_id long, turn int, role string, text string"))
+    out = catalogue.QUERIES["cer_pairs"](spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in out) == [(k, 3 * (k % 45) + 5, 0) for k in range(90)]
+    report = catalogue.QUERIES["exact_match_rate"](spark, sf_dir).collect()
+    assert [(r["pages"], r["exact_pages"], r["mean_cer"]) for r in report] == [(90, 90, 0.0)]
