@@ -13,8 +13,8 @@ joined in page order by one line feed. <br> is white space.
 
 Defined cases: null and empty pages, and pages without content, give the empty text; truncated pages and
 unclosed or stray tags are read as far as they go; very long pages are whole; repeated rows give repeated
-results; other columns are not read. Scanning is linear: an attribute value beyond 4096 characters ends
-its tag at the next '>'.
+results; other columns are not read. Attribute values may have any length; a tag with a quote that is never
+closed ends at the next '>'. Scanning is linear.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from scriptoria.llm.common import arrow_map
 
 TRAIN_PAGES = 800
-_TAG = re.compile(r"""<(?:!--|([/]?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']{1,4096}+|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|[!?/])""")
+_TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)|[!?/])")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SKIPPED = frozenset("script style template noscript svg math head title iframe object select option button textarea canvas audio video".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
@@ -79,6 +80,25 @@ def _hints(attributes: str) -> list[int]:
     return sorted(out)
 
 
+def _tag_end(source: str, at: int, dead: set[int]) -> int:
+    """Place of the '>' that ends the tag whose attributes begin at `at`, or -1.
+
+    `dead` keeps, for one page, the opening quotes after which no tag ends, so that none is followed twice.
+    """
+    passed = []
+    while (m := _STOP.search(source, at)) and m[0] != ">":
+        passed.append(m.start())
+        close = -1 if m.start() in dead else source.find(m[0], m.end())
+        if close < 0:
+            m = None
+            break
+        at = close + 1
+    if m is None:
+        dead.update(passed)
+        return -1
+    return m.start()
+
+
 class Forest:
     """Trees of many pages: parents before children; leaves hold text."""
 
@@ -112,7 +132,7 @@ class Forest:
             else:
                 zone = _ARTICLE if tag in ("article", "main") else _HINTED if hints and tag != "body" else above
             features = [_TAG_PLACE.get(tag, len(_TAGS)), *(len(_TAGS) + 1 + k for k in hints), _ZONE + zone]
-            if len(self._known) < 20_000:
+            if len(self._known) < 20_000 and len(key) <= 4096:
                 self._known[key] = zone, features
         node = self._node(parent, 2 if len(features) > 2 or tag in _LANDMARK else 1, page, None, features)
         self.zone[node] = zone
@@ -143,6 +163,7 @@ class Forest:
             self.labels.append(0)
         skipped: list[str] = []
         pieces: list[str] = []
+        dead: set[int] = set()
         linked, anchors, at, n = 0, 0, 0, len(source)
 
         def flush() -> None:
@@ -167,15 +188,9 @@ class Forest:
                 break
             m = _TAG.match(source, open_)
             if m is None:
-                nearest = source.find(">", open_) if source[open_ + 1 : open_ + 2].isalpha() else -1
-                if nearest >= 0:  # a tag with a broken attribute
-                    at = nearest + 1
-                elif source[open_ + 1 : open_ + 2].isalpha():  # cut off inside a tag
-                    break
-                else:
-                    if not skipped:
-                        pieces.append("&lt;")
-                    at = open_ + 1
+                if not skipped:
+                    pieces.append("&lt;")
+                at = open_ + 1
                 continue
             if m[2] is None:
                 end = source.find("-->", open_ + 4) + 2 if m[0] == "<!--" else source.find(">", open_ + 1)
@@ -183,7 +198,14 @@ class Forest:
                     break
                 at = end + 1
                 continue
-            closing, tag, attributes, at = m[1], m[2].lower(), m[3], m.end()
+            end = _tag_end(source, m.end(), dead)
+            if end < 0:  # a quote without its end, or cut off inside a tag
+                end = source.find(">", open_)
+                if end < 0:
+                    break
+                at = end + 1
+                continue
+            closing, tag, attributes, at = m[1], m[2].lower(), source[m.end() : end], end + 1
             if tag in _SKIPPED or skipped:
                 if closing:
                     if tag in skipped:
