@@ -2,7 +2,8 @@
 
 Language identification rejects documents without a sure language; of each group of near copies (five
 words, similarity 0.8) the document with the least id stays; personal data is masked; the sources are
-interleaved to their target weights, and the files keep that order; the texts become token ids.
+interleaved to their target weights; the texts become token ids, each row with its slot in that mix, as a
+reader of several files does not keep their order. The result is in the order of the slots.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's slots follow from its rows alone, so they are computed again from the rows that were read."""
     small_batches(spark)
-    path = vocabulary_path()
-    decoded = bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    path, keep = vocabulary_path(), ("_mix_slot",)
+    mixed = pfair.mix(docs.select("doc_id", "source", "text"), prefix="_mix_")
+    decoded = bpe.bpe_decode(bpe.bpe_encode(mixed, path, keep=keep), path, keep=keep)
+    return decoded.select("doc_id", F.col("_mix_slot").alias("slot"), "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -52,10 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's table goes to the shared checkpoint folder."""
+    """The last stage's rows in the order of the mix; every stage's table goes to the shared checkpoint folder."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    return docs.orderBy("slot", "doc_id")

@@ -11,7 +11,7 @@ size, so a repeated pre-token costs one lookup.
 
 Defined cases: a null text is the empty one and has no ids; the file's special token is found in a
 text as the tokenizers library finds it; very long texts are whole; repeated rows give repeated rows;
-other columns of the input are not read.
+other columns of the input are not read, except those in `keep`, which pass through.
 """
 
 from __future__ import annotations
@@ -220,23 +220,27 @@ def _share(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((sha(data.encode()), data))
 
 
-def bpe_encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (binary, little-endian unsigned 32-bit), n_tokens for every row."""
+def _kept_types(keep: tuple[str, ...]) -> str:
+    return "".join(f"{c} long," for c in keep)
+
+
+def bpe_encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the long columns in `keep`, ids (binary, little-endian unsigned 32-bit), n_tokens for every row."""
     shared = _share(df, path)
 
     def each(part):
         ids = _once(shared, encoder).encode(part.column(text).to_pylist())
-        return {key: part.column(key), "ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
+        return {key: part.column(key), **{c: part.column(c) for c in keep}, "ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
-    return arrow_map(df.select(key, text), each, f"{key} long,ids binary,n_tokens long", 1024)
+    return arrow_map(df.select(key, *keep, text), each, f"{key} long,{_kept_types(keep)}ids binary,n_tokens long", 1024)
 
 
-def bpe_decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """key, n_tokens, ids_sha256, text for every row of encoded ids; null ids decode to the empty text."""
+def bpe_decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the long columns in `keep`, n_tokens, ids_sha256, text for every row of encoded ids; null ids decode to the empty text."""
     shared = _share(df, path)
 
     def each(part):
         bytes_of, stored = _once(shared, token_bytes), [x or b"" for x in part.column(ids).to_pylist()]
-        return {key: part.column(key), "n_tokens": [len(x) // 4 for x in stored], "ids_sha256": [sha(x) for x in stored], "text": [decode(x, bytes_of) for x in stored]}
+        return {key: part.column(key), **{c: part.column(c) for c in keep}, "n_tokens": [len(x) // 4 for x in stored], "ids_sha256": [sha(x) for x in stored], "text": [decode(x, bytes_of) for x in stored]}
 
-    return arrow_map(df.select(key, ids), each, f"{key} long,n_tokens long,ids_sha256 string,text string", 1024)
+    return arrow_map(df.select(key, *keep, ids), each, f"{key} long,{_kept_types(keep)}n_tokens long,ids_sha256 string,text string", 1024)
