@@ -114,11 +114,9 @@ _SPELLED = re.compile(r"[\[({ ]at[\])} ]", re.I)
 def candidates(text: str) -> list[Span]:
     out = []
     digits = _ANY_DIGIT.search(text) is not None
-    lowered = None
     for kind, pattern in _GENERATORS:
         if kind == "email":
-            lowered = text.lower() if lowered is None else lowered
-            if "dot" not in lowered and "[at]" not in lowered and "(at)" not in lowered and "{at}" not in lowered:
+            if _SPELLED.search(text) is None:
                 continue
         elif not digits:
             continue
