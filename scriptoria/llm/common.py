@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,11 +68,13 @@ def sha(data: bytes) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where the session names none."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode, where the session names none."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="scriptoria-"))
         return sc._jsc.sc().getCheckpointDir().get()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -78,6 +82,56 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+class Scratch:
+    """Tables written to a folder of their own below the shared one, which cuts their lineage.
+
+    `drop` removes a table that nothing needs any more; what is left goes when the driver ends, as a
+    result that is read later may still need it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.tables = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        atexit.register(self.clear)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, schema = f"{self.folder}/{len(self.tables)}", df.schema
+        df.write.parquet(path)
+        del df  # else the plan, and with it the shuffle files, would outlive the collection
+        release(self.spark)
+        self.tables.append((self.spark.read.schema(schema).parquet(path), path))
+        return self.tables[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                self._delete(path)
+
+    def clear(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the frame does not have, by any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def text_key(text: str) -> tuple[Column, Column]:
+    """128 bits of a text, computed in the JVM; null and empty texts differ."""
+    return F.xxhash64(F.col(text).isNull(), F.col(text)), F.xxhash64(F.lit(71), F.col(text))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage there.
 

@@ -52,6 +52,9 @@ def test_against_brute_force(spark, size, num, den):
 
 def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "MANY", 8)  # parts are spread over slices
+    monkeypatch.setattr(J, "HELD_ENTRIES", 300)  # buckets are taken in pieces
+    monkeypatch.setattr(J, "PARTNERS", 7)
     rng = random.Random(9)
     pool = [f"w{k}" for k in range(200)]
     base = [rng.choice(pool) for _ in range(60)]
@@ -84,19 +87,39 @@ def test_every_linked_pair_shares_a_kept_part():
                     assert set(J.signatures(a, bands, t).tolist()) & set(J.signatures(b, bands, t).tolist())
 
 
-def test_sketch_never_overstates_the_difference():
+def test_one_deletion_segments_are_chosen_by_cost_and_change_no_result(spark, monkeypatch):
+    t = J.Threshold(8, 10)
+    assert not any(b.near for b in J.allocate(t, {n: 100 for n in range(1, 300)}))  # parts that hardly meet
+    chosen = J.allocate(t, {n: 10**8 for n in range(1, 300)})
+    assert any(b.near for b in chosen if b.hi < 20) and all(b.exact + 2 * b.near > J.most_differing(t, b.hi, b.hi) for b in chosen)
+    often = {k: {c: (1000.0, 5000.0 * 0.6**c) for c in J.LEVELS} for k in range(40)}  # measured: common passages
+    assert sum(b.near > 0 for b in J.allocate(t, {n: 10**4 for n in range(1, 300)}, often)) > 5
+    # of 400 short texts with a common line, with the allocations of a table in which all parts meet often, and without one-deletion segments
+    rng = random.Random(5)
+    pool = [f"w{k}" for k in range(40)]
+    rows = [(k, "all rights reserved by us " + " ".join(rng.choice(pool) for _ in range(rng.randrange(3, 12)))) for k in range(150)]
+    rows += [(1000 + k, x + rng.choice(["", " w1", " w2 w3"])) for k, x in rows]
+    df, allocate, seen = spark.createDataFrame(rows, "doc_id long, text string"), J.allocate, []
+
+    def forced(t, sizes, measured=None, near=True):
+        bands = allocate(t, {n: c * 10**8 for n, c in sizes.items()}, None, forced.near)
+        seen.append(any(b.near for b in bands))
+        return bands
+
+    monkeypatch.setattr(J, "allocate", forced)
+    for forced.near in (True, False):
+        assert {r[0]: (r[1], r[2]) for r in J.near_duplicates(df).collect()} == brute(rows, 5, 8, 10)
+    assert seen == [True, False]
+
+
+def test_hashed_probes_measure_parts():
     import numpy as np
 
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64))
-        b = np.unique(np.concatenate((a[rng.integers(0, 10) :], rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64))))
-        if not len(b):
-            continue
-        x, y = (np.frombuffer(J.sketch(s), np.uint8) for s in (a, b))
-        w = min(len(x), len(y))
-        x, y = (np.add.reduce(v.reshape(w, -1), axis=1, dtype=np.uint8) for v in (x, y))
-        assert (x != y).sum() <= len(np.setxor1d(a, b))
+    rng = np.random.default_rng(2)
+    s = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    got = np.frombuffer(J.probes(s), "<u8").reshape(-1, 2)
+    assert set(got[:, 0].tolist()) == set(J.LEVELS) and 10 < (got[:, 0] == 1).sum() < 70 and J.probes(s[:0]) == b""
+    assert J.probes(s) == J.probes(s.copy())
 
 
 def test_components_of_long_paths_and_stars(spark):
@@ -113,6 +136,16 @@ def test_one_of_each(spark):
     assert out.columns == df.columns and sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 1, 7, 8]
 
 
+def test_rows_without_an_id_and_clashing_names(spark):
+    rows = [(None, "a b c d e f g", 1, "p"), (5, "a b c d e f g", 2, "p"), (None, "k l m n o p", 3, "q"), (None, "k l m n o p", 3, "q"), (None, "k l m n o p", 4, "q"), (9, "x y", 5, "r"), (9, "x z", 6, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept long, _text string").withColumnsRenamed({})
+    kept = sorted((r["doc_id"] or -1, r["text"], r["_kept"]) for r in J.one_of_each(df).collect())
+    assert [k[:2] for k in kept] == [(-1, "k l m n o p"), (5, "a b c d e f g"), (9, "x y"), (9, "x z")]
+    assert J.one_of_each(df).columns == df.columns
+    found = {(r["doc_id"], r["component_id"]) for r in J.near_duplicates(df).collect()}
+    assert found == {(None, 5), (5, 5), (None, None), (9, 9)}
+
+
 def test_query_and_empty_table(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r[0]: (r[1], r[2]) for r in run(spark, sf_dir).collect()} == brute(docs, 3, 90, 100)
