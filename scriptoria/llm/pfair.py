@@ -11,9 +11,11 @@ When a source runs out, its later slots stay empty and the windows of the others
 Everything is DataFrame functions. Ranks within a source are two-level (source and a prefix of the
 row's digest), so a source that holds a third of all rows spreads over all tasks.
 
-Defined cases: null sources are a source of their own; rows with equal ids are ordered arbitrarily
-among themselves; no row is dropped or repeated; a source always has at least one weight unit; an empty
-table gives no rows. Columns are kept; the new columns replace any of the same name.
+Defined cases: null sources are a source of their own; a null id counts as the empty one; rows with equal
+ids are ordered by a digest of all their columns, so only rows that are equal throughout may change places,
+and rows without an id are spread by it as well; no row is dropped or repeated; a source always has at least one
+weight unit; an empty table gives no rows; texts are not looked at beyond the digest of rows with equal ids.
+Columns are kept, whatever their names; the new columns replace any of the same name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scriptoria.llm.common import fresh
+
 #: Weight units to which target weights are resolved.
 UNITS = 1000
 BLOCK_ROWS = 8
@@ -80,25 +84,32 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Dat
     Rows of a source are taken in the order of their id's digest.
     """
     digits = digits or prefix_digits(df.count())
-    digest = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"), 256), 1, 16)
-    rows = df.drop(*(prefix + c for c in ADDED)).withColumn("_key", source_key(F.col(source))).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
-    counts = rows.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    base = df.drop(*(prefix + c for c in ADDED))
+    k, digest, part, tie, n, upto, at, units, period, slots = fresh(base, "_key", "_digest", "_part", "_tie", "_n", "_before", "_at", "_a", "_p", "_slots")
+    named = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"), 256), 1, 16)
+    rows = base.withColumn(k, source_key(F.col(source))).withColumn(digest, named)
+    rows = rows.withColumn(tie, F.xxhash64(*(F.to_json(F.struct(c)) for c in base.columns)))
+    # rows without an id, which share one digest, are spread by the leading bits of their ties, by which they are ordered
+    none = F.substring(F.sha2(F.lit("").cast("binary"), 256), 1, 16)
+    spread = F.concat(F.lit("1"), F.lpad(F.hex(F.shiftrightunsigned(tie, 52)), 3, "0"))
+    rows = rows.withColumn(part, F.concat(F.substring(digest, 1, digits), F.when(F.col(key).isNull(), spread).when(F.col(digest) < none, "0").otherwise("2")))
+    counts = rows.groupBy(k, part).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(k).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
     if weights is None:
-        weights = tempered_units(counts.groupBy(F.col("_key").alias("key")).agg(F.sum("_n").alias("n")), power)
-    plan = schedule(weights).select(F.col("key").alias("_key"), F.col("units").alias("_a"), F.col("period").alias("_p"), F.col("slots").alias("_slots"))
+        weights = tempered_units(counts.groupBy(F.col(k).alias("key")).agg(F.sum(n).alias("n")), power)
+    plan = schedule(weights).select(F.col("key").alias(k), F.col("units").alias(units), F.col("period").alias(period), F.col("slots").alias(slots))
     # the plan's size is the period, which the weights fix: at most UNITS and one more for each source
-    offsets = counts.select("_key", "_part", before.alias("_before")).join(F.broadcast(plan), "_key")
-    order = Window.partitionBy("_key", "_part").orderBy("_digest", key)
-    placed = rows.join(offsets, ["_key", "_part"]).withColumn("_at", F.col("_before") + F.row_number().over(order) - 1)
-    block, a, p = F.floor(F.col("_at") / block_rows).cast("long"), F.col("_a"), F.col("_p")
+    offsets = counts.select(k, part, before.alias(upto)).join(F.broadcast(plan), k)
+    order = Window.partitionBy(k, part).orderBy(digest, key, F.shiftrightunsigned(tie, 52), tie)
+    placed = rows.join(offsets, [k, part]).withColumn(at, F.col(upto) + F.row_number().over(order) - 1)
+    block, a, p = F.floor(F.col(at) / block_rows).cast("long"), F.col(units), F.col(period)
     b = F.col(prefix + "block")
     return (
         placed.withColumn(prefix + "block", block)
-        .withColumn(prefix + "slot", F.floor(b / a) * p + F.get(F.col("_slots"), (b % a).cast("int")))
+        .withColumn(prefix + "slot", F.floor(b / a) * p + F.get(F.col(slots), (b % a).cast("int")))
         .withColumn(prefix + "release", F.floor(b * p / a))
         .withColumn(prefix + "deadline", F.ceil((b + 1) * p / a))
-        .drop("_key", "_digest", "_part", "_before", "_a", "_p", "_slots", "_at")
+        .select(*base.columns, *(prefix + c for c in ADDED))
     )
 
 

@@ -61,3 +61,16 @@ def test_given_weights_order_and_empty(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = op6_mix.run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "BroadcastNestedLoop"))
+
+
+def test_clashing_names_null_ids_and_ties(spark):
+    names = ["_key", "_digest", "_part", "_before", "_at", "_a", "_p", "_slots", "_tie", "_n"]
+    rows = [(k if k % 4 else None, f"s{k % 3}", *([k] * len(names))) for k in range(400)] + [(1, "s1", *([9] * len(names)))] * 2
+    df = spark.createDataFrame(rows, f"doc_id long, source string, {', '.join(f'{n} long' for n in names)}")
+    out = pfair.mix(df, prefix="_m_")
+    assert out.columns == [*df.columns, *("_m_" + c for c in pfair.ADDED)]
+    got = out.collect()
+    assert Counter(tuple(r)[: len(names) + 2] for r in got) == Counter(rows)
+    again = pfair.mix(df.repartition(7), prefix="_m_", digits=3).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))  # ties have one order, whatever the partitions
+    assert all(n <= pfair.BLOCK_ROWS for n in Counter((r["source"], r["_m_block"]) for r in got).values())
