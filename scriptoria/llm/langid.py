@@ -2,13 +2,18 @@
 
 Texts are lower-cased, every run of non-letters becomes one space, and n-grams of 1 to 3 code points
 are hashed to 2**BITS features. Document frequencies come from all training rows. The classifier is
-fitted on a bounded sample of labelled training rows (`per_label` of each language, chosen by a hash
-of the id, each id once) with the per-coordinate follow-the-regularised-leader update under an
+fitted on a bounded sample of labelled training rows (about `per_label` of each language, chosen by a hash
+of id, text and label, equal rows once) with the per-coordinate follow-the-regularised-leader update under an
 elastic-net penalty, and a temperature is then fitted on the fifth of the sample kept out of it.
 
-Defined cases: a null text, and one without a letter, is `und` with score 0; with no labelled row every
-text is `und`; ties go to the first label in code-point order; repeated rows get equal predictions;
-other columns of the input are not read.
+`accept` rejects texts that no learned language fits. A text's fit is the mean, over its n-grams as often as they
+occur, of the log share of training rows that hold them: n-grams of no learned language are rare ones. The least
+fit that passes is set on the kept-out fifth of the labelled sample, of which it loses LOST (a stated share).
+
+Defined cases: a null text, and one without a letter, is `und` with score 0; with no labelled row, and so with
+an empty table to learn from, every text is `und`; rows without an id are told apart by their text; rows with
+equal ids and different texts both count; ties go to the first label in code-point order; repeated rows get equal
+predictions; very long texts are whole; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from scriptoria.llm.common import arrow_map, slices, small_batches
 BITS = 15
 SIZE = 1 << BITS
 UNKNOWN = "und"
+#: Share of labelled texts that the least fit may lose.
+LOST = 0.004
 #: Odd multipliers of the hash.
 _A, _B, _C, _D = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
 _letters: list[np.ndarray] = []
@@ -97,20 +104,28 @@ def document_frequencies(df: DataFrame, text: str = "text", ways: int = 16) -> t
 
 
 class Model:
-    def __init__(self, labels: list[str], weights: np.ndarray, idf: np.ndarray, temperature: float = 1.0):
-        self.labels, self.weights, self.idf, self.temperature = labels, weights, idf, temperature
+    def __init__(self, labels: list[str], weights: np.ndarray, idf: np.ndarray, temperature: float = 1.0, least_fit: float = -np.inf):
+        self.labels, self.weights, self.idf, self.temperature, self.least_fit = labels, weights, idf, temperature, least_fit
 
     def logits(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         at, x = vector(found, self.idf)
         return x @ self.weights[at] + self.weights[SIZE]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def fit(self, found: tuple[np.ndarray, np.ndarray]) -> float:
+        at, n = found
+        return float(1.0 - (self.idf[at] * n).sum() / n.sum())
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """(label, probability, fit)."""
         found = counts(text) if self.labels else None
         if found is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, -np.inf
         p = softmax(self.logits(found) / self.temperature)
         k = int(np.argmax(p))
-        return self.labels[k], float(p[k])
+        return self.labels[k], float(p[k]), self.fit(found)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -151,31 +166,35 @@ def fit(rows: list[tuple[str, tuple[np.ndarray, np.ndarray]]], idf: np.ndarray,
         truth = np.array([y for y, _, _ in kept_out])
         loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 10, 80), key=loss))
+    if len(data) >= 10:
+        fits = np.sort([model.fit(found) for k, (_, found) in enumerate(rows) if k % 5 == 4])
+        model.least_fit = float(fits[int(LOST * len(fits))])
     return model
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 900) -> Model:
     """A model of all rows given: frequencies of all of them, weights of at most about `per_label` rows a label."""
-    rows = df.where(F.col(label).isNotNull())
+    rows = df.where(F.col(label).isNotNull()).select(key, text, label)
     have = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not have:
         return Model([], np.zeros((SIZE + 1, 0)), np.ones(SIZE))
     frequency, n = document_frequencies(rows, text)
     idf = np.log((1.0 + n) / (1.0 + frequency)) + 1.0
     share = F.create_map(*[F.lit(x) for lab, k in sorted(have.items()) for x in (lab, min(1.0, per_label / k))])
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit("langid")), F.lit(1 << 24)) / float(1 << 24)
-    sample = rows.where(chance < F.element_at(share, F.col(label))).select(key, text, label).dropDuplicates([key])
+    name = F.xxhash64(F.col(key), F.col(text), F.col(label), F.lit("langid"))
+    sample = rows.withColumn("_name", name).where(F.pmod("_name", F.lit(1 << 24)) / float(1 << 24) < F.element_at(share, F.col(label)))
+    sample = sample.groupBy("_name").agg(F.min(F.struct(text, label)).alias("_row")).select(F.col("_name").alias("id"), F.col(f"_row.{text}").alias("text"), F.col(f"_row.{label}").alias("label"))
 
     def each(part):
-        found = [counts(t) for t in part.column(text).to_pylist()]
+        found = [counts(t) for t in part.column("text").to_pylist()]
         return {
-            "id": part.column(key), "label": part.column(label),
+            "id": part.column("id"), "label": part.column("label"),
             "at": [None if f is None else f[0].astype("<i4").tobytes() for f in found],
             "n": [None if f is None else f[1].astype("<i4").tobytes() for f in found],
         }
 
     got = arrow_map(sample, each, "id long,label string,at binary,n binary").where(F.col("at").isNotNull()).collect()
-    got.sort(key=lambda r: (hash((r["id"] or 0) * 2654435761 % (1 << 32)), r["id"] or 0, r["label"]))
+    got.sort(key=lambda r: r["id"])  # a hash, so the order is as good as random and the same in each run
     data = [(r["label"], (np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4").astype(np.int64))) for r in got]
     return fit(data, idf) if data else Model([], np.zeros((SIZE + 1, 0)), idf)
 
@@ -191,13 +210,11 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return arrow_map(df.select(key, text), each, f"{key} long,lang_pred string,score double")
 
 
-
-
 def accept(df: DataFrame, model: Model, margin: float = 1.2, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a learned language and a score of `margin` times chance or more.
+    """The rows, with all their columns, whose text fits a learned language.
 
-    So texts without a letter go, and those that no language fits better than another; short texts that
-    fit one language a little better stay.
+    Three kinds go: texts without a letter; those that fit no language better than another, by a probability
+    under `margin` times chance; and those whose n-grams are of no learned language, by the model's least fit.
     """
     small_batches(df.sparkSession)
     least = min(1.0, margin / max(1, len(model.labels)))
@@ -206,7 +223,7 @@ def accept(df: DataFrame, model: Model, margin: float = 1.2, text: str = "text")
 
     def run(batches):
         for part in slices(batches):
-            got = [shared.value.predict(t) for t in part.column(place).to_pylist()]
-            yield part.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in got], pa.bool_()))
+            got = [shared.value.judge(t) for t in part.column(place).to_pylist()]
+            yield part.filter(pa.array([lang != UNKNOWN and p >= least and f >= shared.value.least_fit for lang, p, f in got], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
