@@ -5,13 +5,15 @@ decodes raw, PackBits, LZW and deflate strips and tiles, and undoes horizontal d
 and floating-point prediction. `tiff_pages` applies it to a column of a DataFrame.
 
 Defined cases: null or empty media give no page rows; bytes that are no TIFF, and directories
-that cannot be decoded, give one row with `error` set and null pixels; directory chains with a
-loop end where they close; repeated input rows give repeated output rows. Columns of the input
-other than the named keys are not carried, so clashing names do no harm.
+that cannot be decoded or state a page larger than their stored bytes can hold, give one row with `error`
+set and null pixels; directory chains with a loop end where they close; very long texts are whole, on as
+many pages as they need; repeated input rows give repeated output rows; an empty table gives no rows. Columns of
+the input other than the named keys are not carried, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +36,10 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 317, 322
 FIELD = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
 
 
+#: Bytes that one stored byte can stand for at most, by the codecs' formats.
+MOST = {NONE: 1, PACKBITS: 64, LZW: 2731, 8: 1032, 32946: 1032}
+
+
 class TiffError(ValueError):
     pass
 
@@ -258,7 +264,7 @@ def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, t
     return tags, following
 
 
-def _fill(tags: dict[int, tuple], data: bytes, order: str, page: Page, limit: int) -> None:
+def _fill(tags: dict[int, tuple], data: bytes, order: str, page: Page, limit: int | None) -> None:
     one = lambda tag, default: int(tags[tag][0]) if tags.get(tag) else default
     page.width, page.height = one(WIDTH, 0), one(HEIGHT, 0)
     page.samples, page.bits = one(SAMPLES, 1), one(BITS, 1)
@@ -279,7 +285,9 @@ def _fill(tags: dict[int, tuple], data: bytes, order: str, page: Page, limit: in
         raise TiffError("blocks are missing")
     row_bytes = -(-bw * spp * page.bits // 8)
     line = -(-page.width * spp * page.bits // 8)
-    if line * page.height * planes > limit or row_bytes * bh > limit:
+    if line * page.height * planes > (sum(counts) + 8) * MOST.get(page.compression, 1):
+        raise TiffError("page is larger than its blocks can hold")
+    if limit is not None and (line * page.height * planes > limit or row_bytes * bh > limit):
         raise TiffError("page is larger than the limit")
     if tiled and across > 1 and bw * spp * page.bits % 8:
         raise TiffError("tiles that end inside a byte are not supported")
@@ -303,8 +311,8 @@ def _fill(tags: dict[int, tuple], data: bytes, order: str, page: Page, limit: in
     page.pixels = out[0] if len(out) == 1 else b"".join(out)
 
 
-def read_pages(data: bytes | None, limit: int = 1 << 30) -> Iterator[Page]:
-    """Pages in directory order. `limit` bounds the bytes of one decoded page; a larger one gives an error row."""
+def read_pages(data: bytes | None, limit: int | None = None) -> Iterator[Page]:
+    """Pages in directory order. A `limit`, if given, bounds the bytes of one decoded page; a larger one gives an error row."""
     if not data:
         return
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
@@ -401,8 +409,8 @@ def write_pages(pages: list[dict], order: str = "<", big: bool = False) -> bytes
 PAGE_SCHEMA = "page int,width int,height int,samples int,bits int,compression int,predictor int,photometric int,pixels binary,error string"
 
 
-def tiff_pages(df: DataFrame, media: str = "media", keys: list[tuple[str, str]] = (), limit: int = 1 << 30) -> DataFrame:
-    """One row per page: the keys, given as (name, type), then PAGE_SCHEMA. Keys keep their values."""
+def tiff_pages(df: DataFrame, media: str = "media", keys: list[tuple[str, str]] = (), limit: int | None = None) -> DataFrame:
+    """One row per page, those of a file one after another: the keys, given as (name, type), then PAGE_SCHEMA. Keys keep their values."""
     schema = ",".join([*(f"{n} {t}" for n, t in keys), PAGE_SCHEMA])
     target, names = to_arrow(schema), [n for n, _ in keys]
 
@@ -418,45 +426,90 @@ def tiff_pages(df: DataFrame, media: str = "media", keys: list[tuple[str, str]]
     return df.select(*names, media).mapInArrow(run, schema)
 
 
-def texts_to_tiff(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 64, rows_per_strip: int = 1024) -> DataFrame:
+#: Rows of a page and of a strip or tile of it; bytes up to which a text may be stored by LZW, which is slow to write.
+PAGE_ROWS, BLOCK_ROWS, LZW_BYTES = 2048, 256, 4096
+
+
+def layout(raw: bytes) -> dict:
+    """How a text is stored, by its checksum: deflate or LZW strips with differencing, PackBits strips, or deflate tiles."""
+    choice = zlib.crc32(raw) % 4
+    if choice == 1:
+        return {"compression": PACKBITS, "rows_per_strip": BLOCK_ROWS}
+    if choice == 2:
+        return {"compression": DEFLATE, "predictor": 2, "tile": (64, BLOCK_ROWS)}
+    return {"compression": LZW if choice == 3 and len(raw) <= LZW_BYTES else DEFLATE, "predictor": 2, "rows_per_strip": BLOCK_ROWS}
+
+
+def texts_to_tiff(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 64, page_rows: int = PAGE_ROWS) -> DataFrame:
     """key, n_bytes, media, media_sha256: each text's UTF-8 padded with zero bytes to a positive multiple
-    of `width` and stored as one 8-bit gray page in deflate strips with horizontal differencing.
+    of `width` and stored as 8-bit gray pages of up to `page_rows` rows, in the layout of its checksum.
     A null text is stored as the empty one."""
 
     def each(part):
         raw = [(t or "").encode() for t in part.column(text).to_pylist()]
         media = []
         for b in raw:
-            height = max(1, -(-len(b) // width))
-            media.append(write_pages([{"pixels": b.ljust(width * height, b"\0"), "width": width, "height": height, "predictor": 2, "rows_per_strip": rows_per_strip}]))
+            height, form = max(1, -(-len(b) // width)), layout(b)
+            b = b.ljust(width * height, b"\0")
+            rows = [min(page_rows, height - y) for y in range(0, height, page_rows)]
+            media.append(write_pages([{"pixels": b[k * page_rows * width : (k * page_rows + n) * width], "width": width, "height": n, **form} for k, n in enumerate(rows)]))
         return {key: part.column(key), "n_bytes": [len(b) for b in raw], "media": media, "media_bytes": [len(m) for m in media], "media_sha256": [sha(m) for m in media]}
 
     return arrow_map(df.select(key, text), each, f"{key} long,n_bytes long,media binary,media_bytes long,media_sha256 string")
 
 
+class _Payload:
+    """What is kept of a file's pages, one after another: checksums, a histogram, and the last bytes."""
+
+    def __init__(self, key: list):
+        self.key, self.sha, self.tail, self.counts = key, hashlib.sha256(), b"", np.zeros(256, np.int64)
+        self.width, self.height, self.whole = 0, 0, True
+
+    def add(self, data: bytes | None, width: int, height: int) -> None:
+        if data is None:
+            self.whole = False
+            return
+        self.sha.update(data)
+        self.tail = (self.tail + data[-64:])[-64:]
+        self.counts += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        self.width, self.height = max(self.width, width), self.height + height
+
+    def row(self) -> list:
+        if not self.whole:
+            return [*self.key, None, None, None, None]
+        c, values = self.counts, np.arange(256)
+        n = int(c.sum())
+        mean = int((c * values).sum()) / max(n, 1)
+        spread = max(0.0, int((c * values**2).sum()) / max(n, 1) - mean**2) ** 0.5
+        feature = f"{self.width}x{self.height} mean={mean:.4f} std={spread:.4f} hist=" + ",".join(map(str, c.reshape(16, 16).sum(axis=1)))
+        return [*self.key, n, self.sha.hexdigest(), zlib.crc32(self.tail), feature]
+
+
 def page_features(pages: DataFrame, keys: list[tuple[str, str]], pixels: str = "pixels") -> DataFrame:
-    """keys, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), feature of the 8-bit samples read back.
+    """keys, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), feature of the 8-bit samples of each file, read back.
 
+    The pages of a file follow each other, as `tiff_pages` gives them. A file with a page in error has nulls.
     feature: WxH, the mean and standard deviation to 4 decimals, and a 16-bin histogram of the samples.
     """
     names = [n for n, _ in keys]
+    schema = f"{','.join(f'{n} {t}' for n, t in keys)},payload_bytes long,payload_sha256 string,tail_crc32 long,feature string"
+    target = to_arrow(schema)
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target)
 
-    def each(part):
-        out = {n: part.column(n) for n in names} | {"payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "feature": []}
-        widths, heights = part.column("width").to_pylist(), part.column("height").to_pylist()
-        for data, w, h in zip(part.column(pixels).to_pylist(), widths, heights, strict=True):
-            if data is None:
-                for n in ("payload_bytes", "payload_sha256", "tail_crc32", "feature"):
-                    out[n].append(None)
-                continue
-            counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-            n, total = len(data), int((counts * np.arange(256)).sum())
-            var = int((counts * np.arange(256) ** 2).sum()) / n - (total / n) ** 2
-            out["payload_bytes"].append(n)
-            out["payload_sha256"].append(sha(data))
-            out["tail_crc32"].append(zlib.crc32(data[-64:]))
-            out["feature"].append(f"{w}x{h} mean={total / n:.4f} std={max(0.0, var) ** 0.5:.4f} hist=" + ",".join(map(str, counts.reshape(16, 16).sum(axis=1))))
-        return out
-
-    wanted = ",".join(f"{n} {t}" for n, t in keys)
-    return arrow_map(pages, each, f"{wanted},payload_bytes long,payload_sha256 string,tail_crc32 long,feature string")
+    def run(batches):
+        now: _Payload | None = None
+        for part in slices(batches, 64):
+            rows = []
+            columns = [part.column(n).to_pylist() for n in (*names, "page", "width", "height")]
+            data = part.column(pixels)
+            for k, (*key, page, width, height) in enumerate(zip(*columns, strict=True)):
+                if page == 0:
+                    rows += [now.row()] if now else []
+                    now = _Payload(key)
+                now.add(data[k].as_py(), width, height)
+            if rows:
+                yield table(rows)
+        if now:
+            yield table([now.row()])
+
+    return pages.select(*names, "page", "width", "height", pixels).mapInArrow(run, schema)

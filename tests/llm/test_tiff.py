@@ -54,16 +54,60 @@ def test_damage_is_an_error_row_and_loops_end():
     assert next(tiff.read_pages(good, limit=10)).error
 
 
+def test_fixed_streams():
+    """Streams written out by hand from the format's rules, not by this module's encoders."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")  # the example of the published PackBits description
+    assert tiff.packbits_decode(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    # LZW of 7 7 7 8 8 7 7 6 6: codes 256 7 258 8 8 258 6 6 257, nine bits each, most significant first
+    codes = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    stream = int(codes.ljust(-(-len(codes) // 8) * 8, "0"), 2).to_bytes(-(-len(codes) // 8), "big")
+    assert tiff.lzw_decode(stream, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == stream
+
+
+def test_pages_have_no_limit_but_what_their_bytes_can_hold():
+    big = bytes(1 << 22)
+    data = tiff.write_pages([{"pixels": big, "width": 64, "height": len(big) // 64, "rows_per_strip": 1 << 12}])
+    assert next(tiff.read_pages(data)).pixels == big
+    lie = tiff.write_pages([{"pixels": bytes(64), "width": 64, "height": 1, "compression": tiff.NONE}])
+    for tag in (b"\x01\x01\x04\x00", b"\x16\x01\x04\x00"):  # the entries of the height and of the rows in a strip
+        at = lie.index(tag)
+        lie = lie[: at + 8] + b"\xff\xff\xff\x0f" + lie[at + 12 :]
+    assert "can hold" in next(tiff.read_pages(lie)).error
+
+
 def test_query(spark, sf_dir):
+    import io
+
     out = {r["doc_id"]: r for r in run(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     assert len(out) == len(docs)
+    forms = set()
     for d in docs:
         raw = (d["text"] or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         r = out[d["doc_id"]]
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        a = np.frombuffer(payload, np.uint8)
+        bins = [int(((a >= 16 * k) & (a < 16 * k + 16)).sum()) for k in range(16)]
+        assert r["feature"] == f"64x{len(payload) // 64} mean={a.mean():.4f} std={a.std():.4f} hist=" + ",".join(map(str, bins))
+        form = tiff.layout(raw)
+        forms.add((form["compression"], "tile" in form))
+        pages = [{"pixels": payload[k : k + 64 * tiff.PAGE_ROWS], "width": 64, "height": len(payload[k : k + 64 * tiff.PAGE_ROWS]) // 64, **form} for k in range(0, len(payload), 64 * tiff.PAGE_ROWS)]
+        stored = io.BytesIO(tiff.write_pages(pages)).getvalue()
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    assert forms == {(tiff.DEFLATE, False), (tiff.DEFLATE, True), (tiff.LZW, False), (tiff.PACKBITS, False)}
+
+
+def test_long_texts_take_several_pages(spark):
+    text = "".join(chr(97 + k * k % 26) for k in range(700_000))
+    df = spark.createDataFrame([(1, text), (2, "b"), (1, text)], "doc_id long, text string").coalesce(1)
+    keys = [("doc_id", "long")]
+    pages = tiff.tiff_pages(tiff.texts_to_tiff(df), "media", keys)
+    assert pages.where("doc_id = 1").count() == 2 * -(-700_000 // (64 * tiff.PAGE_ROWS))
+    got = sorted((r["doc_id"], r["payload_sha256"]) for r in tiff.page_features(pages, keys).collect())
+    want = hashlib.sha256(text.encode().ljust(-(-700_000 // 64) * 64, b"\0")).hexdigest()
+    assert got == [(1, want), (1, want), (2, hashlib.sha256(b"b".ljust(64, b"\0")).hexdigest())]
 
 
 def test_edge_rows(spark):
