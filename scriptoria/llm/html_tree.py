@@ -13,8 +13,8 @@ joined in page order by one line feed. <br> is white space.
 
 Defined cases: null and empty pages, and pages without content, give the empty text; truncated pages and
 unclosed or stray tags are read as far as they go; very long pages are whole; repeated rows give repeated
-results; other columns are not read. Attribute values may have any length; a tag with a quote that is never
-closed ends at the next '>'. Scanning is linear.
+results; an empty table gives no rows; other columns are not read. Attribute values may have any length; a tag with a quote that is never
+closed ends at the next '>'. Scanning is linear, whatever the nesting.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -161,11 +162,20 @@ class Forest:
         stack: list[tuple[str, int]] = [("", self._node(-1, 1, page, None, [len(_TAGS)]))]
         if label:
             self.labels.append(0)
+        open_at: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
         skipped: list[str] = []
+        inside: Counter[str] = Counter()  # how often each tag is in `skipped`
         pieces: list[str] = []
         dead: set[int] = set()
         linked, anchors, at, n = 0, 0, 0, len(source)
 
+        def shorten(length: int) -> None:
+            while len(stack) > length:
+                open_at[stack.pop()[0]].pop()
+
+        def nearest_open(tags: set[str]) -> int:
+            return max((open_at[t][-1] for t in tags if open_at[t]), default=-1)
+
         def flush() -> None:
             nonlocal linked
             if pieces:
@@ -208,8 +218,10 @@ class Forest:
             closing, tag, attributes, at = m[1], m[2].lower(), source[m.end() : end], end + 1
             if tag in _SKIPPED or skipped:
                 if closing:
-                    if tag in skipped:
-                        del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
+                    while inside[tag]:
+                        inside[last := skipped.pop()] -= 1
+                        if last == tag:
+                            break
                 elif tag in _RAW:
                     m = re.compile(f"</{tag}\\b[^>]*>", re.I).search(source, at)
                     if m is None:
@@ -219,8 +231,10 @@ class Forest:
                         pieces.append(" ")
                 elif tag in _SKIPPED and not attributes.rstrip().endswith("/"):
                     skipped.append(tag)
+                    inside[tag] += 1
                 elif closing == "" and tag == "body":
                     skipped.clear()
+                    inside.clear()
                 if tag != "body" or closing or skipped:
                     continue
             if tag in _INLINE:
@@ -232,28 +246,23 @@ class Forest:
             flush()
             anchors = 0
             if closing:
-                if any(t == tag for t, _ in stack):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+                if open_at[tag]:
+                    shorten(open_at[tag][-1])
                 continue
-            if stack[-1][0] == "p" or any(t == "p" for t, _ in stack[-3:]):
+            if any(t == "p" for t, _ in stack[-3:]):
                 while any(t == "p" for t, _ in stack[-3:]):
-                    stack.pop()
+                    shorten(len(stack) - 1)
             elif tag in _CLOSES:
                 closes, ends = _CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        break
-                    if stack[k][0] in closes:
-                        del stack[k:]
-                        break
-            if tag in ("html", "body") and any(t == tag for t, _ in stack):
+                if (at_ := nearest_open(closes)) > nearest_open(ends):
+                    shorten(at_)
+            if tag in ("html", "body") and open_at[tag]:
                 continue
             node = self._element(tag, attributes, stack[-1][1], page)
             if label:
                 self.labels.append(label(tag, attributes, self.labels[stack[-1][1]]))
             if tag not in _VOID and not (attributes.endswith("/") and tag == "hr"):
+                open_at[tag].append(len(stack))
                 stack.append((tag, node))
         flush()
 
@@ -272,7 +281,8 @@ class Model:
         n = len(parent)
         local = np.zeros((n, 2))
         local[:, 1] = np.bincount(rows, self.unary[columns], n)
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
+        by_depth = np.argsort(depth, kind="stable")
+        levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)
         up, below = np.zeros((n, 2)), local.copy()  # message to the parent; local and messages from the children
         for at in reversed(levels[1:]):
             m = np.logaddexp(self.edge[kind[at], :, 0] + below[at, 0, None], self.edge[kind[at], :, 1] + below[at, 1, None])

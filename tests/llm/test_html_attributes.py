@@ -25,3 +25,20 @@ def test_quotes_are_followed_once():
     H.extract(pages, H.trained())
     assert time.perf_counter() - began < 20
     assert tree('<p>a</p><div title="b>c</div>')[2] == tree("<p>a</p>c</div>")[2]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        page = "<div>" * n + "<p>Some words here. " + "</section></article>" * n + "<li>a" * n + "</div>" * n + "<object>" * n + "</svg>" * n
+        t0 = time.perf_counter()
+        H.extract([page], H.trained())
+        took.append(time.perf_counter() - t0)
+    assert took[1] < 30 * max(took[0], 0.05)
+
+
+def test_what_a_start_tag_closes():
+    page = "<article><ul><li>one<ul><li>inner<li>other</ul><li>two</ul><table><tr><td>a<td>b<tr><td>c</table><p>End of it.</article>"
+    assert H.extract([page], H.trained())[0].split("\n") == ["one", "inner", "other", "two", "a", "b", "c", "End of it."]
