@@ -76,3 +76,42 @@ def test_redaction_keeps_columns_and_nulls(spark):
     assert sorted(("-" if r["text"] is None else r["text"], r["n_chars"]) for r in out.collect()) == [("", 0), ("-", 3), ("é [EMAIL] x", 11), ("é [EMAIL] x", 11)]
     assert pii.masked("abcdef", [("ip", 1, 4), ("card", 2, 5)]) == "a[IP]f"
     assert pii.redact(df.where("false")).count() == 0
+
+
+def test_many_hits_in_one_text():
+    import time
+
+    one = "ann@b.co called (415) 555-2671, card 4111.1111.1111.1111; "
+    took = []
+    for n in (1000, 8000):
+        t0 = time.perf_counter()
+        (base, every), = pii.detector().find([one * n])
+        took.append(time.perf_counter() - t0)
+        assert len(base) == n and len(every) == 3 * n
+    assert took[1] < 24 * took[0]
+    spans = sorted((lo, hi) for _, lo, hi in every)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_find_on_odd_rows(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (3, "x@y.zz", "c"), (3, "x@y.zz", "c"), (None, "10.0.0.1", None), (4, "word " * 60_000 + "x@y.zz", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = sorted(((r["doc_id"] or -1, r["n_email"], r["n_ip"], r["spans"]) for r in pii.find(df).collect()), key=str)
+    assert out == sorted([(-1, 0, 1, "ip:0:8"), (1, 0, 0, ""), (2, 0, 0, ""), (3, 1, 0, "email:0:6"), (3, 1, 0, "email:0:6"), (4, 1, 0, "email:300000:300006")], key=str)
+    assert pii.find(df.where("false")).count() == 0
+
+
+def test_overlaps_as_by_plain_search():
+    rng = random.Random(8)
+    d = pii.detector()
+    parts = ["ann@b.co", "(415) 555-2671", "4111 1111 1111 1111", "4111.1111.1111.1111", "10.0.0.1", "+1 415 555 2671", "536-90-4399", "call", "ssn", "card", ","]
+    for _ in range(300):
+        t = " ".join(rng.choice(parts) for _ in range(12))
+        (base, every), = d.find([t])
+        free = [c for c in pii.candidates(t) if not any(c[1] < hi and lo < c[2] for _, lo, hi in base)]
+        p = d.probabilities(np.array([pii.features(t, c) for c in free])).tolist() if free else []
+        kept = []
+        for _, c in sorted(((-q, c) for q, c in zip(p, free) if q >= d.thresholds[c[0]]), key=lambda r: (r[0], r[1][1], r[1][2], r[1][0])):
+            if not any(c[1] < hi and lo < c[2] for _, lo, hi in kept):
+                kept.append(c)
+        assert sorted(every) == sorted([*base, *kept])
