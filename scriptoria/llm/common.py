@@ -101,6 +101,10 @@ class Scratch:
         self.tables.append((self.spark.read.schema(schema).parquet(path), path))
         return self.tables[-1][0]
 
+    def remove(self, path: str) -> None:
+        """Remove a folder that was written beside the tables."""
+        self._delete(path)
+
     def drop(self, *tables: DataFrame) -> None:
         for table, path in self.tables:
             if any(table is t for t in tables):

@@ -1,26 +1,43 @@
-"""Query op5: all pages as WARC records in two replicas, one of them with injected damage, audited."""
+"""Query op5: all pages stored as WARC files in two replicas, one of them with injected damage, read back and audited."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.llm import warc
-from scriptoria.llm.common import table
+from scriptoria.llm.common import Scratch, table
 
 
 def damaged(html: Column, kind: Column) -> Column:
-    """The injected faults: a byte overwritten at the start, or the second half lost."""
+    """The injected faults of a payload: a byte overwritten at the start, or the second half lost."""
     flipped = F.concat(F.lit("#"), F.substring(html, 2, 1 << 30))
     return F.when(kind == 0, flipped).when(kind == 1, F.substring(html, F.lit(1), F.floor(F.char_length(html) / 2).cast("int"))).otherwise(html)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    # damage is drawn from the id's digest: 1 in 23 records altered, 1 in 101 cut short
+def records(pages: DataFrame, harmed: bool) -> DataFrame:
+    """The records of a replica. The faults are drawn from the id's digest: 1 in 23 records altered, 1 in 101 cut
+    short, 1 in 61 lost, and after 1 in 127 a record that the first replica does not have."""
+    whole = warc.record(F.col("url"), F.col("page_id"), F.col("html"))
+    if not harmed:
+        return pages.select(whole.alias("value"))
     draw = F.conv(F.substring(F.sha2(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"), 256), 1, 6), 16, 10).cast("long")
     fault = F.when(draw % 23 == 0, 0).when(draw % 101 == 1, 1)
-    copy = pages.withColumn("html", damaged(F.col("html"), fault))
-    found = warc.audit(warc.replica(pages, "page_id", "url", "html"), warc.replica(copy, "page_id", "url", "html"))
-    return found.withColumnRenamed("record_id", "page_id")
+    value = F.when(draw % 61 == 2, F.lit("")).otherwise(warc.record(F.col("url"), F.col("page_id"), damaged(F.col("html"), fault)))
+    added = F.when(draw % 127 == 3, F.concat(F.lit(warc.END), warc.record(F.col("url"), -F.col("page_id") - 1, F.lit("inserted")))).otherwise(F.lit(""))
+    return pages.select(F.concat(value, added).alias("value"))
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, scratch, leaves = table(spark, sf_dir, "pages").select("page_id", "url", "html"), Scratch(spark, "warc"), []
+    for harmed in (False, True):
+        path = f"{scratch.folder}/replica-{int(harmed)}"
+        warc.write_records(records(pages, harmed), path, "gzip")
+        leaves.append(scratch.keep(warc.replica(spark, path)))
+        scratch.remove(path)
+    found = warc.audit(*leaves)
+    page_id = F.regexp_extract("record_id", "<urn:x-page:(-?[0-9]+)>", 1)
+    return found.select(
+        F.when(page_id != "", page_id).cast("long").alias("page_id"), "status", (F.col("hi_a") - F.col("lo_a")).alias("length_a"), (F.col("hi_b") - F.col("lo_b")).alias("length_b"), "digest_a", "digest_b",
+    )
 
 
 ORACLE_SQL = """
@@ -31,21 +48,19 @@ WITH docs AS (
 ), both_sides AS (
   SELECT 'a' AS side, page_id, url, html FROM faults
   UNION ALL
-  SELECT 'b', page_id, url, CASE WHEN c % 23 = 0 THEN '#' || substr(html, 2) WHEN c % 101 = 1 THEN substr(html, 1, CAST(floor(length(html) / 2) AS INTEGER)) ELSE html END FROM faults
+  SELECT 'b', page_id, url, CASE WHEN c % 23 = 0 THEN '#' || substr(html, 2) WHEN c % 101 = 1 THEN substr(html, 1, CAST(floor(length(html) / 2) AS INTEGER)) ELSE html END FROM faults WHERE c % 61 <> 2
+  UNION ALL
+  SELECT 'b', -page_id - 1, url, 'inserted' FROM faults WHERE c % 127 = 3
 ), framed AS (
   SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:x-page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
     || 'WARC-Date: 2020-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR)
     || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec
   FROM both_sides
 ), slim AS (
-  SELECT side, page_id, coalesce(CAST(floor(page_id / 4096) AS BIGINT), -1) AS file, CAST(strlen(rec) AS BIGINT) AS n, sha256(rec) AS digest FROM framed
-), placed AS (
-  SELECT side, file, page_id, digest, n, row_number() OVER w - 1 AS seq, CAST(sum(n) OVER (PARTITION BY side, file ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi
-  FROM slim WINDOW w AS (PARTITION BY side, file ORDER BY page_id NULLS FIRST, digest)
+  SELECT side, page_id, CAST(strlen(rec) AS BIGINT) AS n, sha256(rec) AS digest FROM framed
 )
-SELECT coalesce(a.file, b.file) AS file, coalesce(a.seq, b.seq) AS seq, coalesce(a.page_id, b.page_id) AS page_id,
-  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.digest = b.digest THEN 'moved' ELSE 'altered' END AS status,
-  a.hi - a.n AS lo_a, a.hi AS hi_a, a.digest AS digest_a, b.hi - b.n AS lo_b, b.hi AS hi_b, b.digest AS digest_b
-FROM (SELECT * FROM placed WHERE side = 'a') a FULL JOIN (SELECT * FROM placed WHERE side = 'b') b ON a.file = b.file AND a.seq = b.seq
-WHERE a.digest IS DISTINCT FROM b.digest OR a.hi IS DISTINCT FROM b.hi OR a.n IS DISTINCT FROM b.n
+SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'altered' END AS status,
+  a.n AS length_a, b.n AS length_b, a.digest AS digest_a, b.digest AS digest_b
+FROM (SELECT * FROM slim WHERE side = 'a') a FULL JOIN (SELECT * FROM slim WHERE side = 'b') b ON a.page_id = b.page_id
+WHERE a.digest IS DISTINCT FROM b.digest
 """
