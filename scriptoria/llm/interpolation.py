@@ -206,23 +206,27 @@ def _histogram(total: int):
 
 
 def maximise(cells: list[tuple[int, int, float, float]], types: int, rounds: int = 60) -> np.ndarray:
-    """Weights (l2, l1, l0) of each bucket from the histogram (cell, n, sum of f2, sum of f1)."""
+    """Weights (l2, l1, l0) of each bucket, which add up to one, from the histogram (cell, n, sum of f2, sum of f1)."""
     start = np.array([0.4, 0.5, 0.1])
     if not cells:
-        return np.tile([0.0, 0.0, 1.0] if types <= 0 else start, (BUCKETS, 1))
+        out = np.tile([0.0, 0.0, 1.0] if types <= 0 else start, (BUCKETS, 1))
+        out[0] = [0.0, *(out[0, 1:] / out[0, 1:].sum())]
+        return out
     code, n, f2, f1 = (np.array(c) for c in zip(*sorted(cells), strict=True))
     f = np.stack([f2 / n, f1 / n, np.full(len(n), 1.0 / (types + 1))], axis=1)
 
-    def run(rows: np.ndarray) -> np.ndarray:
-        w = start
+    def run(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
         for _ in range(rounds):
             part = f[rows] * w
             share = (part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300) * n[rows, None]).sum(axis=0)
             w = share / share.sum()
         return (w + _TINY) / (w + _TINY).sum()
 
-    pooled = run(np.arange(len(n)))
-    return np.stack([run(np.flatnonzero(code // GRID**2 == b)) if (code // GRID**2 == b).any() else pooled for b in range(BUCKETS)])
+    pooled = run(np.arange(len(n)), start)
+    out = np.stack([run(np.flatnonzero(code // GRID**2 == b), start) if (code // GRID**2 == b).any() else pooled for b in range(BUCKETS)])
+    out[0, 0] = 0.0  # an unseen context has no bigrams, so its whole mass goes to the other estimates
+    out[0] /= out[0].sum()
+    return out
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -101,3 +101,28 @@ def test_edge_rows(spark):
     assert I.score(df.where("false"), f == 2, f == 3).count() == 0
     none = I.score(df, f >= 0, f == 3).collect()
     assert len(none) == len(rows) and all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in none)
+
+
+def test_probabilities_add_up_to_one():
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    uni, bi, rows = Counter(), Counter(), len(texts)
+    for t in texts:
+        w = [None, *t.split(), "END"]
+        uni.update(w[1:])
+        bi.update(zip(w, w[1:]))
+    total, types = sum(uni.values()), len(uni)
+    for cells in ([], [((5 * I.GRID + 3) * I.GRID + 7, 10, 2.0, 1.0)], [((0 * I.GRID + 0) * I.GRID + 7, 10, 0.0, 1.0), ((4 * I.GRID + 9) * I.GRID + 7, 50, 20.0, 3.0)]):
+        weights = I.maximise(cells, types)
+        assert weights[0, 0] == 0 and np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all()
+        for context, count in [(None, rows), *uni.items(), ("unseen", 0)]:
+            if context == "END":
+                continue
+            w = weights[int(I.context_bucket(np.array([count]))[0])]
+            mass = sum(w[0] * bi[context, x] / max(count, 1) + w[1] * uni[x] / total + w[2] / (types + 1) for x in [*uni, "an unseen word"])
+            assert math.isclose(mass, 1.0, rel_tol=1e-9)
