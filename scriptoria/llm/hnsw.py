@@ -8,9 +8,13 @@ candidates found exactly in double precision, and merges the shards' best.
 Equal vectors are one node, so large groups of copies do not close the graph off. Insertion keeps the
 diverse neighbours only; a list may grow to twice its size before it is cut back.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; rows
-equal in id and vector count once; vectors are compared with those of their own length only; ties go
-to the smaller id; an empty table gives an empty result; other columns are not read.
+Graphs are walked in single precision, scaled where a shard's components are very large or small; distances
+are of the vectors as they came, in double precision.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
+without an id; rows equal in id and vector count once; an id with several vectors is so many rows, and as many
+queries, each of which has the others among its candidates; vectors are compared with those of their own length
+only; ties go to the smaller id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +30,11 @@ from scriptoria.llm.common import cut
 
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 96
 #: A shard holds between these numbers of vectors, with about SHARDS shards in between.
-LEAST, MOST, SHARDS = 2048, 16384, 64
-QUERY_BLOCK = 4096
+LEAST, MOST, SHARDS = 8192, 131072, 64
+#: Queries that one visit of a shard answers; the index is sent once for so many.
+QUERY_BLOCK = 65536
+#: Vectors for which `ef` is meant; more need a longer list of candidates.
+EF_FOR = 2048
 
 
 class Graph:
@@ -151,22 +158,22 @@ class Graph:
             self.entry, self.top = i, mine
 
     def find(self, q: np.ndarray, ef: int = EF_SEARCH) -> list[int]:
-        """Nodes near q, nearest first by single-precision distance. `ef` is for LEAST nodes and grows as the root of more."""
+        """Nodes near q, nearest first by single-precision distance. `ef` is for EF_FOR nodes and grows as the root of more."""
         if self.entry < 0:
             return []
-        ef = max(ef, int(ef * (len(self.x) / LEAST) ** 0.5))
+        ef = max(ef, int(ef * (len(self.x) / EF_FOR) ** 0.5))
         q = q.astype(np.float32)
         return [c for _, c in self.walk(q, self._descend(q, 0), ef, 0)]
 
     def arrays(self) -> dict:
         return {
-            "entry": self.entry, "top": self.top, "vectors": self.x.tobytes(), "links": [a.astype("<i4").tobytes() for a in self.links], "degree": [a.astype("<i4").tobytes() for a in self.degree],
+            "entry": self.entry, "top": self.top, "links": [a.astype("<i4").tobytes() for a in self.links], "degree": [a.astype("<i4").tobytes() for a in self.degree],
         }
 
     @classmethod
-    def load(cls, row: dict, dim: int, links: int = LINKS) -> Graph:
+    def load(cls, row: dict, x: np.ndarray, links: int = LINKS) -> Graph:
         g = cls.__new__(cls)
-        g.x, g.m = np.frombuffer(row["vectors"], np.float32).reshape(-1, dim), links
+        g.x, g.m = np.ascontiguousarray(x, np.float32), links
         n = len(g.x)
         g.norm = np.einsum("ij,ij->i", g.x, g.x)
         g.links = [np.frombuffer(b, "<i4").reshape(n, -1) for b in row["links"]]
@@ -176,10 +183,10 @@ class Graph:
 
 
 INDEX = pa.schema([
-    ("shard", pa.int32()), ("dim", pa.int32()), ("entry", pa.int32()), ("top", pa.int32()), ("vectors", pa.binary()), ("links", pa.list_(pa.binary())), ("degree", pa.list_(pa.binary())),
+    ("shard", pa.int32()), ("dim", pa.int32()), ("kind", pa.string()), ("scale", pa.float64()), ("entry", pa.int32()), ("top", pa.int32()), ("vectors", pa.binary()), ("links", pa.list_(pa.binary())), ("degree", pa.list_(pa.binary())),
     ("ids", pa.binary()), ("starts", pa.binary()),
 ])
-INDEX_DDL = "shard int,dim int,entry int,top int,vectors binary,links array<binary>,degree array<binary>,ids binary,starts binary"
+INDEX_DDL = "shard int,dim int,kind string,scale double,entry int,top int,vectors binary,links array<binary>,degree array<binary>,ids binary,starts binary"
 
 
 def valid(vector: Column) -> Column:
@@ -188,12 +195,30 @@ def valid(vector: Column) -> Column:
 
 
 def usable(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, vector as floats) of the rows that take part, each pair of id and vector once."""
-    return df.where(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).dropDuplicates(["id", "v"])
+    """(id, v) of the rows that take part, each pair of id and vector once; components are floats, or doubles where they came as anything else."""
+    kind = "array<float>" if df.schema[vector].dataType.elementType.simpleString() == "float" else "array<double>"
+    plus = F.transform(F.col(vector).cast(kind), lambda x: x + F.lit(0).cast(kind[6:-1]))  # -0 and 0 are equal
+    return df.where(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), plus.alias("v")).dropDuplicates(["id", "v"])
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.asarray(column.combine_chunks().flatten(), np.float32).reshape(-1, dim)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _scale(x: np.ndarray) -> float:
+    """What brings the largest component near one, if single precision could not square them."""
+    most = float(np.abs(x).max(initial=0.0))
+    return 1.0 if most == 0 or 1e-12 < most < 1e12 else 1.0 / most if most > 1e-300 else 1e300
+
+
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x - q) ** 2).sum(axis=1))
+    far = np.abs(x - q).max(axis=1)
+    lost = ~np.isfinite(d) | ((d == 0) & (far > 0))  # squares beyond what doubles hold
+    if lost.any():
+        d[lost] = far[lost] * np.sqrt((((x[lost] - q) / far[lost, None]) ** 2).sum(axis=1))
+    return d
 
 
 def shard_count(rows: int) -> int:
@@ -208,14 +233,15 @@ def build(vectors: DataFrame, shards: int, ef: int = EF_BUILD) -> DataFrame:
         x, ids = _matrix(t.column("v"), dim), t.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
-        x = x + np.float32(0)  # -0 and 0 are equal
         _, first, node = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * dim))).ravel(), return_index=True, return_inverse=True)
         rank = np.argsort(np.argsort(first))  # nodes in the order of their smallest id
         node = rank[node.ravel()]
         by_node = np.argsort(node, kind="stable")
         starts = np.concatenate(([0], np.cumsum(np.bincount(node, minlength=len(first)))))
-        graph = Graph(x[np.sort(first)]).build(ef)
-        row = {"shard": t.column("shard")[0].as_py(), "dim": dim, "ids": ids[by_node].astype("<i8").tobytes(), "starts": starts.astype("<i8").tobytes()} | graph.arrays()
+        x = np.ascontiguousarray(x[np.sort(first)])
+        scale = _scale(x)
+        graph = Graph(x * x.dtype.type(scale) if scale != 1.0 else x).build(ef)
+        row = {"shard": t.column("shard")[0].as_py(), "dim": dim, "kind": x.dtype.str, "scale": scale, "vectors": x.tobytes(), "ids": ids[by_node].astype("<i8").tobytes(), "starts": starts.astype("<i8").tobytes()} | graph.arrays()
         return pa.Table.from_pylist([row], schema=INDEX)
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
@@ -223,23 +249,24 @@ def build(vectors: DataFrame, shards: int, ef: int = EF_BUILD) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, shards: int, blocks: int, k: int = 10, ef: int = EF_SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query (id, v), its own id left out."""
+    """query_id, rank, vec_id, score: the k nearest of each query (id, v), its own row left out."""
 
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    out = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
             row = left.to_pylist()[0]
             dim = row["dim"]
-            graph = Graph.load(row, dim)
+            kept, scale = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, dim), row["scale"]
+            graph = Graph.load(row, kept * kept.dtype.type(scale) if scale != 1.0 else kept)
             ids, starts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["starts"], "<i8")
-            x, names = _matrix(right.column("v"), dim), right.column("id").to_pylist()
-            for q, name in zip(x, names, strict=True):
-                nodes = np.array(graph.find(q, ef), np.int64)
+            x, names, numbers = _matrix(right.column("v"), dim), right.column("id").to_pylist(), right.column("query").to_pylist()
+            for q, name, number in zip(x, names, numbers, strict=True):
+                nodes = np.array(graph.find(q * scale, ef), np.int64)
                 if not nodes.size:
                     continue
-                d = np.sqrt(((graph.x[nodes].astype(np.float64) - q.astype(np.float64)) ** 2).sum(axis=1))
+                d = _distances(kept[nodes].astype(np.float64), q.astype(np.float64))
                 nodes = nodes[np.argsort(d, kind="stable")]
                 d = np.sort(d)
                 best: list[tuple[float, int]] = []
@@ -247,16 +274,16 @@ def search(index: DataFrame, queries: DataFrame, shards: int, blocks: int, k: in
                     if len(best) >= k and dist > best[k - 1][0]:
                         break
                     # ids of a node ascend: the first k and one more, for the query's own, are enough
-                    best += [(dist, i) for i in ids[starts[n] : min(starts[n + 1], starts[n] + k + 1)].tolist() if i != name]
+                    best += [(dist, i) for i in ids[starts[n] : min(starts[n + 1], starts[n] + k + 1)].tolist() if i != name or dist]
                     best.sort()
-                found += [(name, i, dist) for dist, i in best[:k]]
-        return pa.table([pa.array([f[c] for f in found], out.field(c).type) for c in range(3)], schema=out)
+                found += [(name, number, i, dist) for dist, i in best[:k]]
+        return pa.table([pa.array([f[c] for f in found], out.field(c).type) for c in range(4)], schema=out)
 
-    dealt = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = queries.withColumn("query", F.xxhash64("v")).withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
-    near = spread.groupBy("shard", "dim", "block").cogroup(dealt.groupBy("shard", "dim", "block")).applyInArrow(each, "query_id long,vec_id long,score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = spread.groupBy("shard", "dim", "block").cogroup(dealt.groupBy("shard", "dim", "block")).applyInArrow(each, "query_id long,query long,vec_id long,score double")
+    order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

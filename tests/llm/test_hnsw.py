@@ -32,7 +32,7 @@ def test_graph_recall_and_flat_arrays():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
     g = hnsw.Graph(x).build()
-    again = hnsw.Graph.load(g.arrays(), 24)
+    again = hnsw.Graph.load(g.arrays(), x)
     hits = 0
     for q in rng.normal(size=(40, 24)).astype(np.float32):
         assert g.find(q) == again.find(q)
@@ -68,3 +68,37 @@ def test_several_shards_and_query_blocks(spark):
     assert len(got) == 30
     hits = sum(len(v & {w[0] for w in brute(np.arange(600), x, q, x[q])}) for q, v in got.items())
     assert hits >= 0.95 * 300
+
+
+def test_recall_over_full_shards(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(50, 16))
+    n = 2 * hnsw.LEAST + 500
+    x = (centres[rng.integers(0, 50, n)] + 0.4 * rng.normal(size=(n, 16))).astype(np.float32)
+    assert hnsw.shard_count(n) == 3
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in range(n)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in hnsw.nearest(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(v & {w[0] for w in brute(np.arange(n), x, q, x[q])}) for q, v in got.items())
+    assert len(got) == -(-n // 100) and hits >= 0.95 * 10 * len(got)
+
+
+def test_doubles_are_measured_as_they_are(spark):
+    rng = np.random.default_rng(5)
+    for size in (1.0, 1e-200, 1e200):
+        x = size * (1 + 1e-10 * rng.normal(size=(300, 4)))  # all alike in single precision
+        x[:150] *= rng.normal(size=(150, 1))
+        df = spark.createDataFrame([(k, x[k].tolist()) for k in range(300)], "vec_id long, embedding array<double>")
+        out = {}
+        for r in hnsw.nearest(df, F.col("id") == 0).orderBy("rank").collect():
+            out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        exact = {i: float(np.linalg.norm((x[i] - x[0]) / size) * size) for i in range(300)}
+        assert len(out[0]) == 10 and all(abs(d - exact[i]) <= 1e-9 * d for i, d in out[0])
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r["query_id"], r["rank"], r["vec_id"]) for r in hnsw.nearest(df, F.col("id") == 0, k=2).collect()]
+    assert sorted(out) == [(0, 1, 1), (0, 1, 2), (0, 2, 2), (0, 2, 1)] or sorted(out) == sorted([(0, 1, 1), (0, 1, 2), (0, 2, 1), (0, 2, 2)])
