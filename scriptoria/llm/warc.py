@@ -60,7 +60,7 @@ def write_warc(df: DataFrame, path: str, uri: str, record_id: str, payload: str,
 
 def write_records(records: DataFrame, path: str, compression: str = "none", file_records: int = FILE_RECORDS) -> None:
     """Records without their closing line ends, which are the sink's separator."""
-    records.write.mode("overwrite").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
+    records.write.mode("overwrite").option("lineSep", END).option("zlib.compress.level", "BEST_SPEED").option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse(data: bytes) -> list[dict]:
