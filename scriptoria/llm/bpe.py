@@ -1,7 +1,7 @@
 """Byte-level BPE with a pair occurrence index.
 
-A worker gathers the distinct pre-tokens of a slice of its partition that it has not met yet, lays
-their bytes out as one array of symbols and maps every adjacent pair that the vocabulary can merge
+A worker gathers the distinct pre-tokens of a slice of its partition that it has not met yet (so the index spans
+the new pre-tokens of a slice; those met before are looked up), lays their bytes out as one array of symbols and maps every adjacent pair that the vocabulary can merge
 to all its positions. The ranks that are active are taken in ascending order; all positions of a
 rank are merged at once (left to right, so overlapping pairs resolve as the sequential rule does),
 the neighbours' pairs are looked up again, and their positions go to the lists of their own ranks.
@@ -10,8 +10,9 @@ uses it; `Vocabulary` verifies that when it loads. Encoded pre-tokens are kept i
 size, so a repeated pre-token costs one lookup.
 
 Defined cases: a null text is the empty one and has no ids; the file's special token is found in a
-text as the tokenizers library finds it; very long texts are whole; repeated rows give repeated rows;
-other columns of the input are not read, except those in `keep`, which pass through.
+text as the tokenizers library finds it, and a file whose special tokens strip white space, match whole words only
+or are normalized is refused; very long texts are whole; repeated rows give repeated rows; an empty table gives no
+rows; other columns of the input are not read, except those in `keep`, which pass through.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ class Vocabulary:
         model = spec["model"]
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE files are supported")
+        if any(x.get(c) for x in spec["added_tokens"] for c in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("only special tokens that match as they stand are supported")
         alphabet = byte_alphabet()
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}

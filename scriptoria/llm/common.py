@@ -131,6 +131,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_digest(df: DataFrame) -> Column:
+    """64 bits of all columns of a row; maps, which have no hash, as JSON."""
+    plain = lambda f: "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
+    name = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    return F.xxhash64(*(name(f) if plain(f) else F.to_json(F.struct(name(f))) for f in df.schema), *(name(f).isNull() for f in df.schema))
+
+
 def text_key(text: str) -> tuple[Column, Column]:
     """128 bits of a text, computed in the JVM; null and empty texts differ."""
     return F.xxhash64(F.col(text).isNull(), F.col(text)), F.xxhash64(F.lit(71), F.col(text))

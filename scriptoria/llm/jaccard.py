@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import Scratch, arrow_map, fresh, slices, small_batches, text_key, trim
+from scriptoria.llm.common import Scratch, arrow_map, fresh, row_digest, slices, small_batches, text_key, trim
 from scriptoria.llm.components import components
 
 #: Entries of the index that a bucket holds on average.
@@ -697,7 +697,7 @@ def one_of_each(df: DataFrame, size: int = 5, num: int = 8, den: int = 10, key:
     t1, t2 = text_key(text)
     whole = df.withColumns({a: t1, b: t2}).join(kept, F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.col(a) == F.col(k1)) & (F.col(b) == F.col(k2)))
     once = whole.where(F.col(many) == 1).select(*df.columns)
-    digest = F.xxhash64(*(F.to_json(F.struct(c)) for c in df.columns))
+    digest = row_digest(df)
     again = whole.where(F.col(many) > 1).groupBy(d, k1, k2).agg(F.min_by(F.struct(*df.columns), digest).alias(place))
     return once.unionByName(again.select(f"{place}.*"))
 

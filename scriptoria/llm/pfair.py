@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import fresh
+from scriptoria.llm.common import fresh, row_digest
 
 #: Weight units to which target weights are resolved.
 UNITS = 1000
@@ -88,7 +88,7 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Dat
     k, digest, part, tie, n, upto, at, units, period, slots = fresh(base, "_key", "_digest", "_part", "_tie", "_n", "_before", "_at", "_a", "_p", "_slots")
     named = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"), 256), 1, 16)
     rows = base.withColumn(k, source_key(F.col(source))).withColumn(digest, named)
-    rows = rows.withColumn(tie, F.xxhash64(*(F.to_json(F.struct(c)) for c in base.columns)))
+    rows = rows.withColumn(tie, row_digest(base))
     # rows without an id, which share one digest, are spread by the leading bits of their ties, by which they are ordered
     none = F.substring(F.sha2(F.lit("").cast("binary"), 256), 1, 16)
     spread = F.concat(F.lit("1"), F.lpad(F.hex(F.shiftrightunsigned(tie, 52)), 3, "0"))

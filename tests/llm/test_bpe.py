@@ -60,3 +60,17 @@ def test_query_and_edge_rows(spark, sf_dir, library):
         assert r["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
     df = spark.createDataFrame([(None, None, 1), (1, "x y", 2), (1, "x y", 2)], "doc_id long, text string, ids int")
     assert sorted(r["n_tokens"] for r in bpe.bpe_encode(df, vocabulary_path()).collect()) == [0, 2, 2]
+
+
+def test_unsupported_special_tokens_and_an_empty_table(spark, data):
+    import json
+
+    spec = json.loads(data)
+    for flag in ("lstrip", "rstrip", "single_word", "normalized"):
+        changed = json.loads(data)
+        changed["added_tokens"][0][flag] = True
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(changed))
+    assert spec["added_tokens"]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.bpe_decode(bpe.bpe_encode(empty, vocabulary_path()), vocabulary_path()).count() == 0
