@@ -171,18 +171,12 @@ def occupied(n: int, bins: int, wanted: int) -> float:
     return float(filled[:wanted].sum())
 
 
-def meeting(measured: dict[int, tuple[float, float]], sets: int, similarity: float):
-    """Other sets, as a function of c, that share a given part of c shingles by chance, from measured (parts, meetings) by part size.
-
-    Near copies share large parts as well, and any choice meets them. What the largest measured parts meet is
-    taken for them, and their share in the meetings of smaller parts, by their similarity, is left out.
-    """
-    met = [measured.get(c, (0.0, 0.0))[1] / max(measured.get(c, (0.0, 0.0))[0], 1.0) for c in LEVELS]
+def meeting(measured: dict[int, tuple[float, float]], sets: int):
+    """Other sets, as a function of c, that share a given part of c shingles, from measured (parts, meetings) by part size."""
     known = []
-    for c, m in zip(LEVELS, met, strict=True):
-        parts = measured.get(c, (0.0, 0.0))[0]
-        chance = max(0.0, m - met[-1] * similarity ** (c - LEVELS[-1]))
-        known.append((chance * parts + PRIOR_WEIGHT * sets * PRIOR * 4.0**-c) / (parts + PRIOR_WEIGHT))
+    for c in LEVELS:
+        parts, met = measured.get(c, (0.0, 0.0))
+        known.append((met + PRIOR_WEIGHT * sets * PRIOR * 4.0**-c) / (parts + PRIOR_WEIGHT))
     return lambda c: np.exp(np.interp(c, LEVELS, np.log(np.maximum(known, 1e-30))))
 
 
@@ -200,7 +194,7 @@ def allocate(t: Threshold, sizes: dict[int, int], measured: dict[int, dict[int,
         need = max(t.differing(2 * hi), most_differing(t, hi, hi), 0) + 1
         mean, best = (lo + hi) / 2, None
         here = (measured or {}).get(at, {})
-        meet, weight = meeting(here, n + below, t.num / t.den), 5 + 0.4 * mean
+        meet, weight = meeting(here, n + below), 5 + 0.4 * mean
         parts, met = here.get(1, (0.0, 0.0))
         most = min(n + below, 4 * met / parts) if parts else n + below  # a set meets no others than those that share its shingles
         for ones in {0, need // 4, need // 2, -(-need // 2)} if near else {0}:
@@ -482,16 +476,17 @@ def vectors_of(df: DataFrame, wanted: DataFrame, size: int, key: str, text: str)
     """(sid, data) of the wanted sets (sid, doc_id, t1, t2): the sorted hashes of one text of each."""
     slot = F.pmod(F.col("t1"), F.lit(SLOTS))
     t1, t2 = text_key(text)
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text).alias("text"))
+    id_, name = F.col(key).cast("long"), ["t1", "t2", "id", "no_id"]
+    rows = df.select(t1.alias("t1"), t2.alias("t2"), F.coalesce(id_, F.lit(0)).alias("id"), id_.isNull().alias("no_id"), F.col(text).alias("text"))
     slots = wanted.select(slot.alias("slot")).distinct()  # SLOTS rows at most
     thinned = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    w = wanted.select("sid", F.col("doc_id").alias("d"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
-    met = thinned.join(w, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("sid", "text")
+    w = wanted.select("sid", "t1", "t2", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"))
+    met = thinned.dropDuplicates(name).join(w, name).select("sid", "text")  # one shuffle of texts serves both
 
     def each(part):
         return {"sid": part.column("sid"), "data": [shingles(x, size).tobytes() for x in part.column("text").to_pylist()]}
 
-    return arrow_map(met, each, "sid long,data binary", 256).dropDuplicates(["sid"])
+    return arrow_map(met, each, "sid long,data binary", 256)
 
 
 def _links(x: np.ndarray, y: np.ndarray, t: Threshold) -> bool:
