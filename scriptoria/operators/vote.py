@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions import text as T
+
 MODEL_SHARE, AGREEMENT_SHARE, CEILING = 0.70, 0.30, 0.999
 #: Readings of the first pass, and of the later ones besides, in their order.
 BASE_VARIANTS = ("raw", "gray", "otsu")
@@ -35,16 +37,24 @@ def bounded(readings: DataFrame, crop: str, key: str = "key", confidence: str =
     """crop, text, confidence, certain, passes: the vote repeated over growing evidence.
 
     A pass reads the base variants again and, from the second on, the extended ones, with the same
-    results: after pass p a base reading weighs p + 1 and an extended one p. So each reading is needed
-    once, and all passes are weights of one aggregate. The first pass that is certain wins, else the last.
+    results: after pass p a base reading weighs p + 1 and an extended one p. So readings are aggregated
+    once, to the sums of either kind for each key, and passes are weights of those. The first pass that is
+    certain wins, else the last.
     """
     if passes < 1:
         raise ValueError("at least one pass is needed")
-    weight = F.col("p") + F.when(F.col(extended), 0).otherwise(1)
-    each = readings.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("w", weight).where("w > 0")
-    groups = each.groupBy(F.col(crop), F.col("p"), F.col(key).alias("key")).agg(
-        F.sum("w").cast("long").alias("n"), (F.sum(F.col("w") * F.col(confidence)) / F.sum("w")).alias("mean"), F.max(confidence).alias("top"), F.min(seq).alias("first")
-    )
+    late = F.coalesce(F.col(extended), F.lit(False))
+    of = lambda later, value: F.when(late if later else ~late, value)
+    sums = readings.groupBy(F.col(crop), F.col(key).alias("key")).agg(
+        F.count(of(False, F.lit(1))).alias("nb"), F.count(of(True, F.lit(1))).alias("nx"), F.coalesce(F.sum(of(False, F.col(confidence))), F.lit(0.0)).alias("sb"), F.coalesce(F.sum(of(True, F.col(confidence))), F.lit(0.0)).alias("sx"),
+        F.max(of(False, F.col(confidence))).alias("tb"), F.max(of(True, F.col(confidence))).alias("tx"), F.min(of(False, F.col(seq))).alias("fb"), F.min(of(True, F.col(seq))).alias("fx"),
+    )
+    each = sums.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    n, later = F.col("nb") * (F.col("p") + 1) + F.col("nx") * F.col("p"), F.col("p") > 0
+    groups = each.withColumn("n", n.cast("long")).where("n > 0").select(
+        crop, "p", "key", "n", ((F.col("sb") * (F.col("p") + 1) + F.col("sx") * F.col("p")) / F.col("n")).alias("mean"),
+        F.greatest("tb", F.when(later, F.col("tx"))).alias("top"), F.least("fb", F.when(later, F.col("fx"))).alias("first"),
+    )
     sure = (F.col("score") >= target) & (F.col("n") >= 2)
     won = _winner(groups, [crop, "p"]).withColumn("certain", sure)
     # the first certain pass, else the last of all
@@ -91,4 +101,4 @@ def choose(normal: DataFrame, bubble: DataFrame, page: str) -> DataFrame:
 
 def not_noise(text: Column, confidence: Column) -> Column:
     """False for empty readings of low confidence; weak readings with text stay."""
-    return ~((F.trim(text) == "") & (confidence < 0.5))
+    return ~((T.strip(text) == "") & (confidence < 0.5))

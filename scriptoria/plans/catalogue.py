@@ -136,8 +136,12 @@ def _expected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return corpus.numbered(items, ["item_id"], "place"), max(1, items.count())
 
 
+#: The benchmark's items with their places from 0 in the order of item_id.
+_PLACES = "(SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS items FROM benchmark)"
+
+
 @query(f"""
-WITH p AS (SELECT d.doc_id, b.item_id, {_COMPARABLE.format('b.text')} AS e, {_COMPARABLE.format('substr(d.text, 1, 60)')} AS a FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+WITH p AS (SELECT d.doc_id, b.item_id, {_COMPARABLE.format('b.text')} AS e, {_COMPARABLE.format('d.text')} AS a FROM documents d JOIN {_PLACES} b ON d.doc_id % (SELECT greatest(1, count(*)) FROM benchmark) = b.place)
 SELECT doc_id, item_id, CAST(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) AS INTEGER) AS distance, round(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) / greatest(1, length(e)), 6) AS cer FROM p
 """)
 def cer_pairs(spark, sf_dir):
@@ -149,7 +153,7 @@ def cer_pairs(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS (SELECT {_COMPARABLE.format('b.text')} AS e, {_COMPARABLE.format('c.text')} AS a, length(c.text) > 50 AS certain FROM conversations c JOIN benchmark b ON c.conv_id % 40 = b.item_id)
+WITH p AS (SELECT {_COMPARABLE.format('b.text')} AS e, {_COMPARABLE.format('c.text')} AS a, length(c.text) > 50 AS certain FROM conversations c JOIN {_PLACES} b ON c.conv_id % (SELECT greatest(1, count(*)) FROM benchmark) = b.place)
 SELECT count(*) AS pages, count(*) FILTER (WHERE e = a) AS exact_pages, round(sum(levenshtein({_BYTES.format('e')}, {_BYTES.format('a')}) / greatest(1, length(e))) / greatest(1, count(*)), 6) AS mean_cer, count(*) FILTER (WHERE certain) AS certain_pages FROM p
 """)
 def exact_match_rate(spark, sf_dir):
@@ -471,12 +475,13 @@ _A = LATIN.letters
 
 
 @query(f"""
-WITH w AS (SELECT DISTINCT x AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM benchmark) WHERE length(x) BETWEEN 2 AND 6),
+WITH w AS (SELECT DISTINCT x AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM benchmark)),
+r AS (SELECT word, unnest(range(0, CAST(length(word) AS BIGINT) + 1)) AS i FROM w),
 e AS (
-  SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM w, range(1, 7) r(i) WHERE i <= length(word)
-  UNION SELECT word, substr(word, 1, i) || a || substr(word, i + 1) FROM w, range(0, 7) r(i), (SELECT unnest(string_split('{_A}', '')) AS a) WHERE i <= length(word)
-  UNION SELECT word, substr(word, 1, i - 1) || a || substr(word, i + 1) FROM w, range(1, 7) r(i), (SELECT unnest(string_split('{_A}', '')) AS a) WHERE i <= length(word) AND a <> substr(word, i, 1)
-  UNION SELECT word, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FROM w, range(1, 7) r(i) WHERE i < length(word) AND substr(word, i, 1) <> substr(word, i + 1, 1))
+  SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM r WHERE i >= 1
+  UNION SELECT word, substr(word, 1, i) || a || substr(word, i + 1) FROM r, (SELECT unnest(string_split('{_A}', '')) AS a)
+  UNION SELECT word, substr(word, 1, i - 1) || a || substr(word, i + 1) FROM r, (SELECT unnest(string_split('{_A}', '')) AS a) WHERE i >= 1 AND a <> substr(word, i, 1)
+  UNION SELECT word, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FROM r WHERE i >= 1 AND i < length(word) AND substr(word, i, 1) <> substr(word, i + 1, 1))
 SELECT word, CAST(count(*) AS INTEGER) AS n, md5(string_agg(c, ',' ORDER BY c)) AS digest FROM e WHERE c <> '' GROUP BY word
 """)
 def edits_one(spark, sf_dir):
@@ -496,14 +501,14 @@ _LEX = "l AS (SELECT x AS word, least(1.0, count(*) / 8.0) AS morph, least(1.0,
 
 
 @query(f"""
-WITH {_LEX}, w AS (SELECT DISTINCT substr(word, 2) AS word FROM l WHERE length(word) BETWEEN 4 AND 12),
+WITH {_LEX}, w AS (SELECT DISTINCT substr(word, 2) AS word FROM l),
 b AS (SELECT w.word, coalesce(l.morph, 0) AS base FROM w LEFT JOIN l ON w.word = l.word), s AS (SELECT * FROM b WHERE base < 0.2),
-a AS (SELECT unnest(string_split('{_A}', '')) AS a, unnest(range(0, 26)) AS ai),
+a AS (SELECT unnest(string_split('{_A}', '')) AS a, unnest(range(0, 26)) AS ai), r AS (SELECT word, base, unnest(range(0, CAST(length(word) AS BIGINT) + 1)) AS i FROM s),
 e AS (
-  SELECT word, base, 1000 + i AS o, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM s, range(1, 13) r(i) WHERE i <= length(word)
-  UNION ALL SELECT word, base, 2000 + i * 26 + ai, substr(word, 1, i) || a || substr(word, i + 1) FROM s, range(0, 13) r(i), a WHERE i <= length(word)
-  UNION ALL SELECT word, base, 4000 + i * 26 + ai, substr(word, 1, i - 1) || a || substr(word, i + 1) FROM s, range(1, 13) r(i), a WHERE i <= length(word) AND a <> substr(word, i, 1)
-  UNION ALL SELECT word, base, 6000 + i, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FROM s, range(1, 13) r(i) WHERE i < length(word) AND substr(word, i, 1) <> substr(word, i + 1, 1)),
+  SELECT word, base, 10000000 + i AS o, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM r WHERE i >= 1
+  UNION ALL SELECT word, base, 20000000 + i * 26 + ai, substr(word, 1, i) || a || substr(word, i + 1) FROM r, a
+  UNION ALL SELECT word, base, 40000000 + i * 26 + ai, substr(word, 1, i - 1) || a || substr(word, i + 1) FROM r, a WHERE i >= 1 AND a <> substr(word, i, 1)
+  UNION ALL SELECT word, base, 60000000 + i, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FROM r WHERE i >= 1 AND i < length(word) AND substr(word, i, 1) <> substr(word, i + 1, 1)),
 k AS (SELECT e.word, e.base, e.o, e.c, 0.62 * l.morph + 0.38 * l.freq - 0.015 * abs(length(e.c) - length(e.word)) AS rank FROM e JOIN l ON e.c = l.word WHERE l.morph > 0),
 t AS (SELECT word, base, c, rank, row_number() OVER (PARTITION BY word ORDER BY rank DESC, o) AS rn FROM k)
 SELECT b.word, coalesce(t.c, b.word) AS corrected FROM b LEFT JOIN t ON b.word = t.word AND t.rn = 1 AND t.rank >= greatest(0.35, t.base + 0.15)
