@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,10 +71,21 @@ def split_of(index: Column) -> Column:
 
 
 def python_round(value: Column, digits: int) -> Column:
-    """Rounding as Python's round: half to even on the exact binary value, which no JVM function does."""
+    """Rounding as Python's round: half to even on the exact binary value, which no JVM function does.
+
+    Whole batches at once; only values next to a tie take Python's own rounding.
+    """
 
     @F.pandas_udf("double")
     def rounded(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else round(v, digits))
+        scale = 10.0**digits
+        v = x.to_numpy(dtype=float, na_value=np.nan)
+        scaled = v * scale
+        out = np.round(scaled) / scale
+        odd = ~np.isfinite(scaled) | (np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-6) | (np.abs(scaled) > 2.0**50)
+        for k in np.flatnonzero(odd & np.isfinite(v)).tolist():
+            out[k] = round(float(v[k]), digits)
+        out[~np.isfinite(v)] = v[~np.isfinite(v)]
+        return pd.Series(out).where(x.notna().to_numpy(), None)
 
     return rounded(value.cast("double"))

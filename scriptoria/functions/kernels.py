@@ -159,36 +159,57 @@ def word_pieces(image: np.ndarray, least_width: int = 32) -> list[tuple[int, int
     return [(max(0, int(lefts[a]) - 4), min(w, int(rights[b]) + 5)) for a, b in zip(first, last, strict=True)]
 
 
-def regions(image: np.ndarray, light: int = 245) -> list[tuple[int, int, int, int, int]]:
-    """(x, y, w, h, area) of the connected light regions, by runs of rows and union-find."""
-    mask = gray(image) > light
-    parent: list[int] = []
-    box: list[list[int]] = []
+def _components(mask: np.ndarray, corners: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin, end and component of the runs of a mask; runs also touch at corners if `corners`."""
+    padded = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = mask
+    row, at = np.nonzero(np.diff(padded, axis=1))
+    row, lo, hi = row[::2], at[::2], at[1::2]
+    parent = list(range(len(row)))
 
     def find(k: int) -> int:
         while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
+            parent[k] = k = parent[parent[k]]
         return k
 
-    above: list[tuple[int, int, int]] = []
-    for y, row in enumerate(mask):
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], row.view(np.int8), [0]))))
-        here = []
-        for lo, hi in edges.reshape(-1, 2).tolist():
-            k = len(parent)
-            parent.append(k)
-            box.append([lo, y, hi, y + 1, hi - lo])
-            for a, b, j in above:
-                if a <= hi and lo <= b:  # touching also at corners
-                    r, s = find(j), find(k)
-                    if r != s:
-                        parent[s] = r
-                        p, q = box[r], box[s]
-                        box[r] = [min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]), p[4] + q[4]]
-            here.append((lo, hi, k))
-        above = here
-    return [(b[0], b[1], b[2] - b[0], b[3] - b[1], b[4]) for k, b in enumerate(box) if parent[k] == k]
+    first = np.searchsorted(row, np.arange(mask.shape[0] + 1)).tolist()
+    lows, highs, reach = lo.tolist(), hi.tolist(), int(corners)
+    for y in range(1, mask.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if lows[i] < highs[j] + reach and lows[j] < highs[i] + reach:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+            if highs[i] < highs[j]:
+                i += 1
+            else:
+                j += 1
+    return row, lo, hi, np.array([find(k) for k in range(len(parent))], np.int64)
+
+
+def filled(mask: np.ndarray) -> np.ndarray:
+    """The mask with everything that its parts enclose: all but the background that reaches the border."""
+    h, w = mask.shape
+    row, lo, hi, part = _components(~mask, False)
+    outer = np.unique(part[(row == 0) | (row == h - 1) | (lo == 0) | (hi == w)])
+    out = np.ones(mask.shape, bool)
+    for y, x0, x1 in zip(*(c[np.isin(part, outer)].tolist() for c in (row, lo, hi)), strict=True):
+        out[y, x0:x1] = False
+    return out
+
+
+def regions(image: np.ndarray, light: int = 245) -> list[tuple[int, int, int, int, int]]:
+    """(x, y, w, h, area) of the outermost connected light regions; what a region encloses, such as text, counts to its area."""
+    row, lo, hi, part = _components(filled(gray(image) > light), True)
+    names, at = np.unique(part, return_inverse=True)
+    n = len(names)
+    x0, y0, x1, y1 = np.full(n, 1 << 30), np.full(n, 1 << 30), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.minimum.at(x0, at, lo)
+    np.minimum.at(y0, at, row)
+    np.maximum.at(x1, at, hi)
+    np.maximum.at(y1, at, row + 1)
+    area = np.bincount(at, hi - lo, n).astype(np.int64)
+    return list(zip(*(c.tolist() for c in (x0, y0, x1 - x0, y1 - y0, area)), strict=True))
 
 
 def signature(frame: np.ndarray, w: int = 48, h: int = 32) -> np.ndarray:

@@ -100,7 +100,7 @@ def normalize(text: Column, profile: AlphabetProfile = CYRILLIC) -> Column:
 
 def normalize_lite(text: Column, profile: AlphabetProfile = CYRILLIC) -> Column:
     """The light profile of small devices: look-alikes, ASCII digits, alphabet, blanks; no token rules."""
-    kept = F.regexp_replace(map_confusables(text, profile), f"[^{profile.letter_class}0-9{JAVA_SPACE}{profile.punctuation_class}]+", "")
+    kept = F.regexp_replace(without_foreign(text, profile), f"[^{profile.letter_class}0-9{JAVA_SPACE}{profile.punctuation_class}]+", "")
     return strip(F.regexp_replace(kept, "[ \\t]+", " "))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -36,3 +37,15 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return reachable(spark)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written once to the session's shared checkpoint folder; a temporary one only in local mode."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="scriptoria-"))
+    return df.checkpoint(eager=True)

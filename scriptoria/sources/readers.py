@@ -64,8 +64,18 @@ def dictionary(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     return whole.select(F.posexplode(lines).alias("k", "ch")).select((F.col("k") + 1).alias("class_id"), "ch")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(conf).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """word, ipm of a tab-separated list with the columns Lemma and Freq(ipm): lower case, the most of repeated words, bad rows skipped."""
+    """word, ipm of a tab-separated list with the columns Lemma and Freq(ipm): lower case, the most of repeated words, bad rows
+    skipped; no file is an empty list."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], "word string, ipm double")
     rows = spark.read.csv(path, sep="\t", header=True)
     names = {c.strip(): c for c in rows.columns}
     count = next((names[c] for c in ("Freq(ipm", "Freq(ipm)") if c in names), None)
@@ -75,7 +85,9 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
-    """Rows of a JSON array with their place `ord` from 1; the array is one file by its format."""
+    """Rows of a JSON array with their place `ord` from 1; the array is one file by its format; no file is an empty array."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], f"ord int, {schema}")
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("k", "m")).select((F.col("k") + 1).alias("ord"), "m.*")
 
@@ -134,6 +146,9 @@ def tar_sentences(spark: SparkSession, path: str, member: str = "opencorpora_ann
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, seq long, text string")
 
 
-def sentence_lines(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
-    """text: trimmed lines of at least `least` characters."""
-    return spark.read.text(path).select(strip(F.col("value")).alias("text")).where(F.char_length("text") >= least)
+def sentence_lines(spark: SparkSession, path: str, least: int = 10, fallback: DataFrame | None = None) -> DataFrame:
+    """text: trimmed lines of at least `least` characters; `fallback` (text) where there is no file or no such line."""
+    if not _there(spark, path):
+        return fallback if fallback is not None else spark.createDataFrame([], "text string")
+    found = spark.read.text(path).select(strip(F.col("value")).alias("text")).where(F.char_length("text") >= least)
+    return fallback if fallback is not None and found.isEmpty() else found

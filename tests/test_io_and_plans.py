@@ -66,6 +66,12 @@ def test_kernels():
     light[5:20, 5:30] = 255
     light[30:40, 30:45] = 255
     assert sorted(K.regions(light)) == [(5, 5, 25, 15, 375), (30, 30, 15, 10, 150)]
+    light[8:15, 10:25] = 0  # text in a bubble counts to it, and light within that text is no region of its own
+    light[10:12, 12:14] = 255
+    assert sorted(K.regions(light)) == [(5, 5, 25, 15, 375), (30, 30, 15, 10, 150)]
+    light[18:31, 20:31] = 0
+    light[19, 29] = light[20, 30] = 255
+    assert len(K.regions(np.zeros((4, 4), np.uint8))) == 0 and len(K.regions(np.full((4, 4), 255, np.uint8))) == 1
 
 
 def test_page_plan_with_a_made_up_recognizer(spark):
@@ -86,6 +92,77 @@ def test_page_plan_with_a_made_up_recognizer(spark):
     assert all(r["text"] == "" and not r["certain"] for r in none) and len(none) == 2
 
 
+def page_rows(spark, images):
+    rows = [(k, bytearray(i.tobytes()), i.shape[0], i.shape[1], 3) for k, i in images.items()]
+    return spark.createDataFrame(rows, "page long, data binary, height int, width int, channels int")
+
+
+def test_extended_readings_and_the_second_engine_only_where_needed(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def recognizer(name, sure):
+        def make():
+            def read(crop):
+                import os
+                import uuid
+
+                open(os.path.join(calls, f"{name}-{uuid.uuid4().hex}"), "w").close()
+                wide = crop.shape[1] >= 60
+                return ("мир", 0.97) if sure or not wide else ("миг", 0.40)
+
+            return read
+
+        return make
+
+    count = lambda name: sum(f.startswith(f"{name}-") for f in __import__("os").listdir(calls))
+    df = page_rows(spark, {1: picture()})
+    one = pages.recognize(df, lambda: lambda image: [(10, 10, 190, 50)], recognizer("sure", True)).collect()[0]
+    pieces = len(one["text"].split())
+    assert one["certain"] and count("sure") == 3 * pieces  # no extended reading
+    out = pages.recognize(df, lambda: lambda image: [(10, 10, 190, 50)], recognizer("weak", False), make_second=recognizer("second", True)).collect()[0]
+    assert count("weak") >= count("second") and count("second") % 6 == 0 and len(out["text"].split()) == pieces
+
+
+def test_bubble_mode_needs_three_bubbles_and_takes_the_better(spark):
+    def drawn(n):
+        image = np.full((500, 400, 3), 120, np.uint8)
+        for k in range(n):
+            image[20 + 150 * k : 130 + 150 * k, 40:300] = 255
+            image[60 + 150 * k : 80 + 150 * k, 80:120] = 0
+        return image
+
+    found = {r["page"]: [] for r in pages.bubbles(page_rows(spark, {1: drawn(3), 2: drawn(2)})).collect()}
+    for r in pages.bubbles(page_rows(spark, {1: drawn(3), 2: drawn(2)})).collect():
+        found[r["page"]].append((r["ord"], r["x"], r["y"], r["w"], r["h"]))
+    assert sorted(found[1]) == [(k + 1, 40, 20 + 150 * k, 260, 110) for k in range(3)] and len(found[2]) == 2
+
+    def make_recognizer():
+        return lambda crop: ("мир", 0.97 if crop.shape[0] < 100 else 0.30)
+
+    whole, part = (lambda: lambda image: [(0, 0, image.shape[1], image.shape[0])]), (lambda: lambda image: [(30, 30, 90, 70)])
+    out = {r["page"]: r for r in pages.recognize(page_rows(spark, {1: drawn(3), 2: drawn(2)}), whole, make_recognizer, bubble_mode=True, make_bubble_detector=part).collect()}
+    assert (out[1]["source"], out[1]["text"], out[1]["certain"]) == ("bubble", "мир\nмир\nмир", True)
+    assert out[2]["source"] == "normal" and not out[2]["certain"]
+
+
+def test_python_rounding_of_whole_batches(spark):
+    from scriptoria.functions.geometry import python_round
+
+    values = [0.12345, 0.12355, 2.5, 1.00005, 0.00015, -0.12345, 1e300, float("inf"), None, 0.99995, 123456.78905, 0.1 + 0.2] + [k / 20000 for k in range(400)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = [r["r"] for r in df.select("k", python_round(F.col("v"), 4).alias("r")).orderBy("k").collect()]
+    assert got == [None if v is None else v if v == float("inf") else round(v, 4) for v in values]
+
+
+def test_optional_files_may_be_missing(spark, tmp_path):
+    nowhere = str(tmp_path / "nowhere.txt")
+    assert readers.lexicon(spark, nowhere).count() == 0 and readers.manifest(spark, nowhere).count() == 0
+    own = spark.createDataFrame([("a sentence of our own",)], "text string")
+    assert readers.sentence_lines(spark, nowhere, fallback=own).count() == 1 and readers.sentence_lines(spark, nowhere).count() == 0
+    (tmp_path / "short.txt").write_text("short\n", encoding="utf-8")
+    assert readers.sentence_lines(spark, str(tmp_path / "short.txt"), fallback=own).count() == 1
+
+
 def test_stream_keeps_state_over_batches(spark, tmp_path):
     schema = "session string, seq long, sig array<double>, text string, force boolean"
     frames = [("a", 1, [0.0], "x", False), ("a", 2, [0.001], "y", False), ("a", 3, [1.0], "z", False), ("a", 4, [1.0], "w", True), ("b", 1, [5.0], "q", False)]
