@@ -7,14 +7,17 @@ the counts of all training rows.
 
 Rows are dealt to chunks of about CHUNK_BYTES of text. A chunk counts its distinct grams and sends one
 packed row (sorted 64-bit hashes, counts) to each bucket of the hash space; a bucket adds up the counts
-of all chunks and sends each chunk the totals of just the grams it asked for, in its order. So every
+of all chunks and sends each chunk the totals of just the grams it asked for, in its order. From DIRECT
+chunks on, both ways go over a level in between: a group of about the root of their number of chunks adds
+up its members' grams in as many ranges, each of which deals with its buckets; so the rows sent grow with the
+power 3/2 of the number of chunks at most, not with its square. So every
 count covers all rows, a frequent gram arrives once from each chunk, no vocabulary is broadcast and no
 task holds more than a chunk or a bucket. Only the totals N and V, and a histogram of bounded size
 for the weights (BUCKETS * GRID * GRID cells), reach the driver.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as the empty text for its
-fold; without training rows all counts are 0 and the estimate is uniform; repeated rows count and are
-scored as often as they occur; very long texts are whole; other columns are not read.
+fold; without training rows all counts are 0 and the estimate is uniform; an empty table gives no rows; repeated
+rows count and are scored as often as they occur; very long texts are whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from scriptoria.llm.common import cut, release
 
 CHUNK_BYTES = 6_000_000
+#: Chunks up to which each of them writes to each bucket.
+DIRECT = 2048
 BUCKETS, GRID = 24, 64
 END, BEGIN = b" ", b"\t"  # no word holds white space
 _TINY = 1e-6
@@ -159,6 +164,89 @@ def _answers(first_held_out: int):
     return each
 
 
+_MERGED = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("sup", pa.int32()), ("uni", pa.binary()), ("bi", pa.binary())])
+_RETURNED = pa.schema([("grp", pa.int32()), ("sup", pa.int32()), ("bucket", pa.int32()), *list(_ANSWER)[2:]])
+
+
+def _added(t: pa.Table, name: str, first_held_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the requests of a group and range, their counts, and those of the held-out chunks."""
+    parts = [_unpack(b, 2) for b in t.column(name).to_pylist()]
+    hashes, counts = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+    held = np.repeat(t.column("chunk").to_numpy() >= first_held_out, [len(h) for h, _ in parts])
+    distinct, at = np.unique(hashes, return_inverse=True)
+    at, weights = at.ravel(), counts.astype(np.float64)
+    return distinct, np.bincount(at, weights, len(distinct)).astype(np.int64), np.bincount(at[held], weights[held], len(distinct)).astype(np.int64)
+
+
+def _merge(ranges: int, first_held_out: int):
+    """The requests of one group in one range, added up and dealt to the range's buckets."""
+
+    def each(t: pa.Table) -> pa.Table:
+        grp, sup = t.column("grp")[0].as_py(), t.column("sup")[0].as_py()
+        sums = [_added(t, name, first_held_out) for name in ("uni", "bi")]
+        cuts = [_bounds(x[0], ranges * ranges)[sup * ranges : (sup + 1) * ranges + 1] for x in sums]
+        rows = []
+        for k in range(ranges):
+            blobs = [_pack(*(c[at[k] : at[k + 1]] for c in x)) for x, at in zip(sums, cuts, strict=True)]
+            if any(blobs):
+                rows.append((sup * ranges + k, grp, sup, *blobs))
+        return pa.table([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(_MERGED)], schema=_MERGED)
+
+    return each
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """A bucket's totals for each group and range that asked, and a row of its statistics."""
+    begin = xxhash.xxh3_64_intdigest(BEGIN)
+    bucket, n = t.column("bucket")[0].as_py(), t.num_rows
+    out, stats = [], [0, 0, 0, 0]
+    for name in ("uni", "bi"):
+        parts = [_unpack(b, 3) for b in t.column(name).to_pylist()]
+        sizes = [len(p[0]) for p in parts]
+        hashes, counts, held = (np.concatenate([p[c] for p in parts]) for c in range(3))
+        distinct, at = np.unique(hashes, return_inverse=True)
+        at = at.ravel()
+        total = np.bincount(at, counts.astype(np.float64), len(distinct)).astype(np.int64)
+        left = total - np.bincount(at, held.astype(np.float64), len(distinct)).astype(np.int64)
+        ends = np.cumsum([0, *sizes])
+        out.append([_pack(total[at[lo:hi]], left[at[lo:hi]]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)])
+        if name == "uni":
+            real = distinct != np.uint64(begin)
+            stats = [int((total[real] > 0).sum()), int(total[real].sum()), int((left[real] > 0).sum()), int(left[real].sum())]
+    columns = [[*t.column("grp").to_pylist(), -1], [*t.column("sup").to_pylist(), -1], [bucket] * (n + 1), [*out[0], None], [*out[1], None], *([*([0] * n), x] for x in stats)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _RETURNED, strict=True)], schema=_RETURNED)
+
+
+def _share_out(asked: pa.Table, returned: pa.Table) -> pa.Table:
+    """The totals of a group's range, for each of its chunks in the chunk's order."""
+    if not asked.num_rows or not returned.num_rows:
+        return _ANSWER.empty_table()
+    order = np.argsort(returned.column("bucket").to_numpy()).tolist()
+    out = []
+    for name in ("uni", "bi"):
+        pieces = [_unpack(b, 2)[0] for b in asked.column(name).to_pylist()]
+        distinct, blobs = np.unique(np.concatenate(pieces)), returned.column(name).to_pylist()
+        totals = [np.concatenate(c) for c in zip(*(_unpack(blobs[k], 2) for k in order), strict=True)]
+        out.append([_pack(*(x[np.searchsorted(distinct, p)] for x in totals)) for p in pieces])
+    n, zeros = asked.num_rows, [0] * asked.num_rows
+    columns = [asked.column("chunk").to_pylist(), asked.column("sup").to_pylist(), *out, zeros, zeros, zeros, zeros]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ANSWER, strict=True)], schema=_ANSWER) if n else _ANSWER.empty_table()
+
+
+def _answered(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(answers to the chunks, a row of statistics for each bucket), of chunks from 0, those from `n` on held out."""
+    request = lambda buckets: docs.select("chunk", "text", "training").groupBy("chunk").applyInArrow(_requests(buckets), _ddl(_REQUEST))
+    if n <= DIRECT:
+        answers = cut(request(n).groupBy("bucket").applyInArrow(_answers(n), _ddl(_ANSWER)))
+        return answers.where("chunk >= 0"), answers.where("chunk = -1")
+    ranges = int(np.ceil(np.sqrt(n)))
+    asked = request(ranges).withColumnRenamed("bucket", "sup").withColumn("grp", F.floor(F.col("chunk") / ranges).cast("int"))
+    merged = asked.groupBy("grp", "sup").applyInArrow(_merge(ranges, n), _ddl(_MERGED))
+    returned = cut(merged.groupBy("bucket").applyInArrow(_total, _ddl(_RETURNED)))
+    own = returned.where("grp >= 0").select("grp", "sup", "bucket", "uni", "bi").groupBy("grp", "sup")
+    return cut(asked.groupBy("grp", "sup").cogroup(own).applyInArrow(_share_out, _ddl(_ANSWER))), returned.where("grp = -1")
+
+
 def context_bucket(count: np.ndarray) -> np.ndarray:
     """0 for unseen contexts, then one bucket for each doubling."""
     return np.minimum(np.frexp(count.astype(np.float64))[1], BUCKETS - 1)
@@ -263,11 +351,10 @@ def score(df: DataFrame, held_out: Column, deleted: Column, key: str = "doc_id",
     h = F.xxhash64("doc_id", "text")
     docs = docs.withColumn("chunk", F.when(F.col("_deleted"), F.lit(n) + F.pmod(h, F.lit(-(-n // 6)))).otherwise(F.pmod(h, F.lit(n))).cast("int")).drop("_deleted")
     grouped = docs.groupBy("chunk")
-    asked = docs.select("chunk", "text", "training").groupBy("chunk").applyInArrow(_requests(n), _ddl(_REQUEST))
-    answers = cut(asked.groupBy("bucket").applyInArrow(_answers(n), _ddl(_ANSWER)))
-    stats = answers.where("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "kept_types", "kept_tokens"))).first()
+    answers, counted = _answered(docs, n)
+    stats = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "kept_types", "kept_tokens"))).first()
     release(df.sparkSession)  # the shuffles behind the answers, now that the checkpoint's events are through
-    mine = answers.where("chunk >= 0").select("chunk", "bucket", "uni", "bi")
+    mine = answers.select("chunk", "bucket", "uni", "bi")
     held = docs.where(F.col("chunk") >= n).select("chunk", "text", "training").groupBy("chunk").cogroup(mine.where(F.col("chunk") >= n).groupBy("chunk"))
     cells = held.applyInArrow(_histogram(int(stats[3])), _ddl(_CELLS)).groupBy("cell").agg(F.sum("n"), F.sum("f2"), F.sum("f1")).collect()
     release(df.sparkSession)

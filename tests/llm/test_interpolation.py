@@ -126,3 +126,15 @@ def test_probabilities_add_up_to_one():
             w = weights[int(I.context_bucket(np.array([count]))[0])]
             mass = sum(w[0] * bi[context, x] / max(count, 1) + w[1] * uni[x] / total + w[2] / (types + 1) for x in [*uni, "an unseen word"])
             assert math.isclose(mass, 1.0, rel_tol=1e-9)
+
+
+def test_the_level_in_between_changes_no_count(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    fold = crc_mod("doc_id", 7)
+    found = []
+    for direct in (I.DIRECT, 2):
+        monkeypatch.setattr(I, "DIRECT", direct)
+        found.append({r["doc_id"]: tuple(r) for r in I.score(docs, fold == 2, fold == 3, chunk_bytes=20_000).collect()})
+    assert len(found[0]) == docs.count() and found[0].keys() == found[1].keys()
+    for a, b in ((found[0][k], found[1][k]) for k in found[0]):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-12) and math.isclose(a[6], b[6], rel_tol=1e-9)
