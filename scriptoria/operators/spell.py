@@ -7,9 +7,6 @@ back by token; the lexicon is an ordinary join side, broadcast by Spark only whe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,36 +63,44 @@ def best_edits(words: DataFrame, lexicon: DataFrame, profile: AlphabetProfile =
     return base.select("word").join(accepted, "word", "left").select("word", F.coalesce("candidate", "word").alias("corrected"))
 
 
-def split_word(word: str, scores: dict[str, tuple[float, float]]) -> list[str]:
-    """The pieces of a fused lower-case word along its best path, or the word itself.
+#: Letters of a piece at most; what a piece costs that does not begin the word, by whether it has one letter; what a split must gain.
+LONGEST, PIECE_COST, LETTER_COST, GAIN = 20, 0.95, 1.35, 0.25
+
+
+def piece_score(piece: Column, morph: Column, freq: Column) -> Column:
+    """How well a known piece stands alone, null for one that may not; single letters go by their list, not by the lexicon."""
+    trusted = (F.char_length(piece) >= 4) | (piece.isin(*SHORT_WORDS) & (freq >= 0.5))
+    known = (morph > 0) | (freq >= 0.5)
+    return F.when((F.char_length(piece) > 1) & trusted & known, F.lit(0.55) * F.least(F.lit(1.0), morph / 0.5) + F.lit(0.45) * freq)
+
+
+def best_split(word: Column, scores: Column) -> Column:
+    """The pieces of a word along its best path, with blanks between, or the word itself.
 
-    `scores` has (morph, freq) of the lexicon's words that occur in it.
+    `scores` maps the pieces of two letters or more that may stand alone to their score. A fold over the ends
+    of pieces keeps the best path to each; of equal ones that with the longest last piece.
     """
+    step = "struct<total:double,before:int,pieces:string>"
+    nowhere = F.struct(F.lit(None).cast("double").alias("total"), F.lit(0).alias("before"), F.lit("").alias("pieces")).cast(step)
 
-    def worth(piece: str) -> float:
-        if len(piece) == 1:
-            return 0.10 if piece in ONE_LETTER else -1.0
-        morph, freq = scores.get(piece, (0.0, 0.0))
-        unsure = len(piece) < 4 and (piece not in SHORT_WORDS or freq < 0.5)
-        return -1.0 if unsure or (morph <= 0 and freq < 0.5) else 0.55 * min(1.0, morph / 0.5) + 0.45 * freq
-
-    # reach[k]: (total, start of the last piece) of the best path over the first k letters
-    reach: list[tuple[float, int] | None] = [(0.0, 0)] + [None] * len(word)
-    for end in range(1, len(word) + 1):
-        for start in range(max(0, end - 20), end):
-            if reach[start] is None or (value := worth(word[start:end])) < 0:
-                continue
-            total = reach[start][0] + value - (0.0 if start == 0 else 1.35 if end - start == 1 else 0.95)
-            if reach[end] is None or total > reach[end][0]:
-                reach[end] = (total, start)
-    if reach[-1] is None or reach[-1][0] < worth(word) + 0.25:
-        return [word]
-    pieces, end = [], len(word)
-    while end:
-        start = reach[end][1]
-        pieces.append(word[start:end])
-        end = start
-    return pieces[::-1]
+    def reach(paths: Column, end: Column) -> Column:
+        def through(start: Column) -> Column:
+            piece = F.substring(word, start + 1, end - start)
+            single = F.when((end - start == 1) & piece.isin(*ONE_LETTER), F.lit(0.10))
+            last = F.get(paths, start)
+            cost = F.when(start == 0, 0.0).when(end - start == 1, LETTER_COST).otherwise(PIECE_COST)
+            total = last["total"] + F.coalesce(single, F.element_at(scores, piece)) - cost
+            joined = F.concat(last["pieces"], F.when(start == 0, "").otherwise(" "), piece)
+            return F.struct(total.alias("total"), (-start).cast("int").alias("before"), joined.alias("pieces"))
+
+        ways = F.transform(F.sequence(F.greatest(F.lit(0), end - LONGEST), end - 1), through)
+        return F.coalesce(F.array_max(F.filter(ways, lambda w: w["total"].isNotNull())).cast(step), nowhere)
+
+    begin = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("before"), F.lit("").alias("pieces")).cast(step))
+    paths = F.aggregate(F.sequence(F.lit(1), F.char_length(word)), begin, lambda acc, end: F.concat(acc, F.array(reach(acc, end))))
+    best = F.element_at(paths, -1)
+    whole = F.coalesce(F.element_at(scores, word), F.lit(-1.0))
+    return F.when(best["total"] >= whole + GAIN, best["pieces"]).otherwise(word)
 
 
 def segmented(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -108,16 +113,12 @@ def segmented(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     base = words.select("word").distinct().join(known, "word", "left")
     long = base.where((F.char_length("word") >= 9) & ~F.coalesce((F.col("morph") >= GOOD) & (F.col("freq") >= 0.16), F.lit(False))).select("word")
     n = F.char_length("word")
-    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(20), n - i + 1)), lambda k: F.substring(F.col("word"), i, k)))
+    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - i + 1)), lambda k: F.substring(F.col("word"), i, k)))
     pieces = long.select("word", F.explode(F.array_distinct(F.concat(F.flatten(starts), F.array("word")))).alias("piece"))
-    found = pieces.join(known.withColumnRenamed("word", "piece"), "piece").groupBy("word").agg(F.collect_list(F.struct("piece", "morph", "freq")).alias("scores"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["pieces"] = [" ".join(split_word(w, {s["piece"]: (s["morph"], s["freq"]) for s in (scores if scores is not None else [])})) for w, scores in zip(pdf["word"], pdf["scores"], strict=True)]
-            yield pdf[["word", "pieces"]]
-
-    cut = long.join(found, "word", "left").mapInPandas(run, "word string, pieces string")
+    scored = known.select(F.col("word").alias("piece"), piece_score(F.col("word"), F.col("morph"), F.col("freq")).alias("score")).where("score is not null")
+    found = pieces.join(scored, "piece").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("piece", "score"))).alias("scores"))
+    none = F.create_map().cast("map<string,double>")
+    cut = long.join(found, "word", "left").select("word", best_split(F.col("word"), F.coalesce("scores", none)).alias("pieces"))
     return base.select("word").join(cut, "word", "left").select("word", F.coalesce("pieces", "word").alias("pieces"))
 
 
@@ -129,9 +130,13 @@ def _cased_pieces(source: Column, pieces: Column) -> Column:
 def normalize_with(df: DataFrame, text: str, lexicon: DataFrame, out: str = "normalized", profile: AlphabetProfile = CYRILLIC) -> DataFrame:
     """The rows with `text` normalized against the lexicon: look-alikes, one-edit spelling, fused words, tidying.
 
-    Tokens become rows for the joins with the distinct corrected words and are put together again by row.
+    Tokens become rows for the joins with the distinct corrected words and are put together again by text.
+    All columns are kept, but one named as `out`, which it replaces; a null text stays null.
     """
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    source = df[text]
+    # distinct texts are the rows of the search, so that no row needs a number and repeated texts are done once
+    rows = df.select(F.col(text).alias("_id")).where(F.col(text).isNotNull()).distinct()
+    text = "_id"
     mapped = rows.select("_id", T.map_confusables(F.col(text), profile).alias("t"))
     parts = mapped.select("_id", F.split("t", profile.token_pattern, -1).alias("gaps"), T.tokens(F.col("t"), profile).alias("tokens"))
     each = parts.select("_id", "tokens", F.posexplode("gaps").alias("k", "gap")).select("_id", "k", "gap", F.get("tokens", F.col("k")).alias("token"))
@@ -144,4 +149,6 @@ def normalize_with(df: DataFrame, text: str, lexicon: DataFrame, out: str = "nor
     cased = F.when(F.col("word").isNull(), F.coalesce("letters", F.lit(""))).otherwise(_cased_pieces(T.restore_case(F.col("letters"), F.col("corrected")), F.col("pieces")))
     joined = done.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("k", F.concat("gap", cased).alias("s")))).alias("p"))
     text_ = joined.select("_id", T.tidy(T.allowed_only(F.array_join(F.transform("p", lambda p: p["s"]), ""), profile)).alias(out))
-    return rows.join(text_, "_id", "left").drop("_id")
+    found = text_.withColumnRenamed("_id", "_text").withColumnRenamed(out, "_normalized")
+    kept = [df[f"`{c}`"] for c in df.columns if c != out]
+    return df.join(found, source.eqNullSafe(F.col("_text")), "left").select(*kept, F.col("_normalized").alias(out))

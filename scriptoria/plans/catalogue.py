@@ -519,7 +519,28 @@ def spell_correct(spark, sf_dir):
     return spell.best_edits(words, lexicon, LATIN)
 
 
-@query()
+_ONE = ", ".join(f"'{c}'" for c in spell.ONE_LETTER)
+_SHORT = ", ".join(f"'{c}'" for c in spell.SHORT_WORDS)
+
+
+@query(f"""
+WITH RECURSIVE {_LEX}, t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS t FROM benchmark),
+w AS (SELECT DISTINCT t[i] || t[i + 1] AS word FROM (SELECT t, unnest(range(1, len(t))) AS i FROM t)),
+long AS (SELECT w.word FROM w LEFT JOIN l ON w.word = l.word WHERE length(w.word) >= 9 AND NOT coalesce(l.morph >= 0.2 AND l.freq >= 0.16, false)),
+i AS (SELECT word, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS i FROM long),
+p AS (SELECT word, substr(word, i, k) AS piece FROM (SELECT word, i, unnest(range(1, least(20, CAST(length(word) AS BIGINT) - i + 1) + 1)) AS k FROM i) UNION SELECT word, word FROM long),
+sc AS (SELECT p.word, map_from_entries(list((p.piece, 0.55 * least(1.0, l.morph / 0.5) + 0.45 * l.freq))) AS m FROM p JOIN l ON p.piece = l.word
+  WHERE length(p.piece) > 1 AND (length(p.piece) >= 4 OR (p.piece IN ({_SHORT}) AND l.freq >= 0.5)) AND (l.morph > 0 OR l.freq >= 0.5) GROUP BY p.word),
+paths AS (
+  SELECT long.word, coalesce(sc.m, map([]::VARCHAR[], []::DOUBLE[])) AS m, CAST(0 AS BIGINT) AS k, [CAST(0 AS DOUBLE)] AS total, [''] AS pieces FROM long LEFT JOIN sc ON long.word = sc.word
+  UNION ALL
+  SELECT word, m, k + 1, list_append(total, best.t), list_append(pieces, best.p) FROM (
+    SELECT word, m, k, total, pieces, list_sort(list_filter(list_transform(range(greatest(0, k - 19), k + 1), lambda s: {{
+      't': total[s + 1] + coalesce(CASE WHEN s = k AND substr(word, s + 1, 1) IN ({_ONE}) THEN 0.10 END, m[substr(word, s + 1, k + 1 - s)]) - CASE WHEN s = 0 THEN 0.0 WHEN s = k THEN 1.35 ELSE 0.95 END,
+      'b': -s, 'p': pieces[s + 1] || CASE WHEN s = 0 THEN '' ELSE ' ' END || substr(word, s + 1, k + 1 - s)}}), lambda x: x.t IS NOT NULL), 'DESC')[1] AS best
+    FROM paths WHERE k < length(word)))
+SELECT w.word, CASE WHEN q.total[-1] >= coalesce(q.m[w.word], -1) + 0.25 THEN q.pieces[-1] ELSE w.word END AS pieces FROM w LEFT JOIN (SELECT * FROM paths WHERE k = length(word)) q ON w.word = q.word
+""")
 def segment_fused(spark, sf_dir):
     lexicon = _lexicon(spark, sf_dir)
     words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("t"))

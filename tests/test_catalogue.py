@@ -38,15 +38,44 @@ def test_queries_without_sql_run(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
-def test_fused_pairs_against_a_plain_search(spark, sf_dir):
-    from scriptoria.operators.spell import split_word
-
-    lexicon = {r["word"]: (r["morph"], r["freq"]) for r in __import__("scriptoria.operators.spell", fromlist=["x"]).scored_lexicon(catalogue._lexicon(spark, sf_dir)).collect()}
-    out = catalogue.QUERIES["segment_fused"](spark, sf_dir).collect()
-    for r in out:
-        w = r["word"]
-        good = w in lexicon and lexicon[w][0] >= 0.2 and lexicon[w][1] >= 0.16
-        assert r["pieces"] == (w if len(w) < 9 or good else " ".join(split_word(w, lexicon)))
+def split_plainly(word, lexicon):
+    """The best of all ways to cut the word, tried one by one."""
+    ones, short = "авикосуя", set("а в и к о с у я же не но на по из за от до ко со".split())
+
+    def worth(piece):
+        if len(piece) == 1:
+            return 0.10 if piece in ones else None
+        morph, freq = lexicon.get(piece, (0.0, 0.0))
+        if (morph <= 0 and freq < 0.5) or (len(piece) < 4 and not (piece in short and freq >= 0.5)):
+            return None
+        return 0.55 * min(1.0, morph / 0.5) + 0.45 * freq
+
+    def ways(rest, first):
+        if not rest:
+            yield 0.0, []
+        for k in range(1, min(20, len(rest)) + 1):
+            if (v := worth(rest[:k])) is not None:
+                for total, pieces in ways(rest[k:], False):
+                    yield total + v - (0 if first else 1.35 if k == 1 else 0.95), [rest[:k], *pieces]
+
+    best = max(ways(word, True), key=lambda w: w[0], default=None)
+    return " ".join(best[1]) if best and best[0] >= (worth(word) if worth(word) is not None else -1.0) + 0.25 else word
+
+
+def test_fused_words_against_all_ways_to_cut_them(spark):
+    import math
+
+    from scriptoria.operators import spell
+
+    words = {"какая": (1.0, 900.0), "ужасная": (1.0, 400.0), "же": (1.0, 9000.0), "последний": (1.0, 500.0), "воин": (1.0, 300.0), "человечества": (1.0, 300.0), "на": (1.0, 20000.0), "стол": (1.0, 800.0), "столе": (0.6, 50.0), "кот": (1.0, 700.0), "дома": (0.9, 900.0), "домашний": (0.1, 90.0)}
+    lexicon = spark.createDataFrame([(w, m, 0.0, i) for w, (m, i) in words.items()], "word string, morph double, zipf double, ipm double")
+    fused = ["какаяжеужасная", "последнийвоинчеловечества", "котнастоле", "настолекот", "домавоинстол", "домашний", "ыыыыыыыыыы", "столнастоле", "воинидома", "а" * 12, "человечества"]
+    scores = {w: (m, min(1.0, math.log1p(i) / 9)) for w, (m, i) in words.items()}
+    got = {r["word"]: r["pieces"] for r in spell.segmented(spark.createDataFrame([(w,) for w in fused], "word string"), lexicon).collect()}
+    for w in fused:
+        good = w in scores and scores[w][0] >= 0.2 and scores[w][1] >= 0.16
+        assert got[w] == (w if len(w) < 9 or good else split_plainly(w, scores)), w
+    assert got["какаяжеужасная"] == "какая же ужасная"
 
 
 def test_entry(spark):
