@@ -62,5 +62,10 @@ def dataset(samples: DataFrame) -> DataFrame:
     )
 
 
+def split_counts(manifest: DataFrame) -> DataFrame:
+    """split, pages, line_crops of manifest rows; a page without lines counts as a page."""
+    return manifest.groupBy("split").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce(F.size("recognition_rows"), F.lit(0)).cast("long")).alias("line_crops"))
+
+
 def phrase_index(page: Column, place: Column, phrases: int) -> Column:
     return F.pmod(page * 3 + place, F.lit(phrases))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.functions import text as T
+
 BLANK = 0
 
 
@@ -49,6 +51,12 @@ def decode(df: DataFrame, steps: str, characters: str | list[str], allowed: set[
     return df.withColumn("_path", best_path(F.col(steps), characters, allowed)).withColumns({"raw_text": F.col("_path.raw"), "confidence": F.col("_path.confidence")}).drop("_path")
 
 
+def verdict(df: DataFrame, steps: str, characters: str | list[str], threshold: float = 0.90) -> DataFrame:
+    """The rows with raw_text, text (light normalization), confidence and certain: one reading, no vote, as small devices do it."""
+    read = decode(df, steps, characters)
+    return read.withColumns({"text": T.normalize_lite(F.col("raw_text")), "certain": F.col("confidence") >= threshold})
+
+
 def uncovered(dictionary: DataFrame, allowed: DataFrame) -> DataFrame:
     """Allowed characters (ch) that the dictionary (ch) cannot write."""
     return allowed.select("ch").distinct().join(dictionary.select("ch"), "ch", "left_anti")

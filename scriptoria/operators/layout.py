@@ -13,15 +13,15 @@ def reading_order(boxes: DataFrame, page: str, y: str, x: str, tie: str, out: st
     return boxes.withColumn(out, F.row_number().over(Window.partitionBy(page).orderBy(y, x, tie)))
 
 
-def suppressed(boxes: DataFrame, page: str, score: str, tie: str, threshold: float = 0.45, least: float = 0.25, per_class: str | None = None) -> DataFrame:
-    """page, ord and the box of the boxes that greedy non-maximum suppression keeps, in its order.
+def suppressed(boxes: DataFrame, page: str, score: str, tie: str, threshold: float = 0.45, least: float = 0.25, per_class: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """page, ord and the box of the boxes that greedy non-maximum suppression keeps, in its order, with the columns of `carry`.
 
     Boxes have x0, y0, x1, y1; classes are ignored unless `per_class` names their column. One aggregate
     gathers the boxes of a page, and a fold inside the row keeps a box if none kept overlaps it by more
     than the threshold.
     """
     keys = [page] if per_class is None else [page, per_class]
-    fields = ["x0", "y0", "x1", "y1", *(c for c in (tie,) if c not in ("x0", "y0", "x1", "y1"))]
+    fields = ["x0", "y0", "x1", "y1", *(c for c in (tie, *carry) if c not in ("x0", "y0", "x1", "y1"))]
     item = F.struct((-F.col(score)).alias("rank"), F.col(tie).alias("_tie"), *fields)
     grouped = boxes.where((F.col(score) >= least) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda _: F.lit(False))

@@ -15,7 +15,7 @@ from scriptoria.functions import geometry as G
 from scriptoria.functions import text as T
 from scriptoria.functions import vectors as V
 from scriptoria.functions.profile import CYRILLIC, LATIN
-from scriptoria.operators import corpus, ctc, evaluate, layout, live, spell, vote
+from scriptoria.operators import corpus, ctc, detect, evaluate, layout, live, spell, vote
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,6 +426,36 @@ def nms(spark, sf_dir):
     return layout.suppressed(boxes(spark, sf_dir), "page", "score", "id", threshold=0.1).select("page", "ord", "id", "score")
 
 
+#: Detector output: pages of 200 rows of centres and class scores, and pages of 20 rows of corners, score and class.
+_OUTPUT = """SELECT p_partkey // 200 AS page, p_partkey AS seq, true AS raw, (p_partkey * 37) % 240 + 100.0 AS a, (p_partkey * 53) % 180 + 200.0 AS b, 20.0 + p_size * 2 AS c, 15.0 + (p_partkey % 5) * 12 AS d, (p_partkey * 7919 % 1000) / 1000.0 AS s0, (p_partkey * 6151 % 1000) / 1000.0 AS s1 FROM part
+UNION ALL SELECT 1000000000 + p_partkey // 20, p_partkey, false, (p_partkey * 37) % 300 + 60.0, (p_partkey * 53) % 250 + 90.0, (p_partkey * 37) % 300 + 130.0 + p_size, (p_partkey * 53) % 250 + 150.0, (p_partkey * 7919 % 1000) / 1000.0, p_partkey % 2 FROM part"""
+
+
+@query(f"""
+WITH RECURSIVE o AS ({_OUTPUT}), n AS (SELECT *, count(*) OVER (PARTITION BY page) > 100 AS many, 800 + page % 7 * 100 AS w, 1100 + page % 3 * 90 AS h FROM o),
+z AS (SELECT *, least(640.0 / w, 640.0 / h) AS scale FROM n),
+g AS (SELECT *, floor((640 - greatest(1, round_even(w * scale, 0))) / 2.0) AS dx, floor((640 - greatest(1, round_even(h * scale, 0))) / 2.0) AS dy,
+  CASE WHEN many THEN a - c / 2 ELSE a END AS l, CASE WHEN many THEN b - d / 2 ELSE b END AS t, CASE WHEN many THEN a + c / 2 ELSE c END AS r, CASE WHEN many THEN b + d / 2 ELSE d END AS u,
+  CASE WHEN many THEN greatest(s0, s1) ELSE s0 END AS score, CASE WHEN many THEN CASE WHEN s1 > s0 THEN 1 ELSE 0 END ELSE s1 END AS cls FROM z),
+k AS (SELECT page, seq, CAST(cls AS INTEGER) AS cls, score, CAST(trunc(greatest(0.0, least(w - 1, (l - dx) / scale))) AS BIGINT) AS x0, CAST(trunc(greatest(0.0, least(h - 1, (t - dy) / scale))) AS BIGINT) AS y0,
+  CAST(trunc(greatest(0.0, least(w - 1, (r - dx) / scale))) AS BIGINT) AS x1, CAST(trunc(greatest(0.0, least(h - 1, (u - dy) / scale))) AS BIGINT) AS y1 FROM g),
+q AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, seq) AS n FROM k WHERE score > 0.25 AND x1 > x0 AND y1 > y0),
+f AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(cls INTEGER, score DOUBLE, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT)[]) AS kept FROM q GROUP BY page
+  UNION ALL SELECT q.page, q.n, CASE WHEN len(list_filter(f.kept, lambda e: greatest(0, least(e.x1, q.x1) - greatest(e.x0, q.x0)) * greatest(0, least(e.y1, q.y1) - greatest(e.y0, q.y0))
+    / CAST((e.x1 - e.x0) * (e.y1 - e.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) - greatest(0, least(e.x1, q.x1) - greatest(e.x0, q.x0)) * greatest(0, least(e.y1, q.y1) - greatest(e.y0, q.y0)) AS DOUBLE) > 0.45)) > 0 THEN f.kept
+    ELSE list_append(f.kept, {{'cls': q.cls, 'score': q.score, 'x0': q.x0, 'y0': q.y0, 'x1': q.x1, 'y1': q.y1}}) END FROM f JOIN q ON q.page = f.page AND q.n = f.n + 1),
+v AS (SELECT page, arg_max(kept, n) AS kept FROM f GROUP BY page)
+SELECT page, CAST(i AS INTEGER) AS ord, kept[i].score AS score, kept[i].x0 AS x0, kept[i].y0 AS y0, kept[i].x1 AS x1, kept[i].y1 AS y1 FROM (SELECT page, kept, unnest(range(1, len(kept) + 1)) AS i FROM v) WHERE kept[i].cls = 0
+""")
+def detector_text_boxes(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    many = part.selectExpr("p_partkey div 200 AS page", "p_partkey AS seq", "array((p_partkey * 37) % 240 + 100D, (p_partkey * 53) % 180 + 200D, 20D + p_size * 2, 15D + (p_partkey % 5) * 12, (p_partkey * 7919 % 1000) / 1000D, (p_partkey * 6151 % 1000) / 1000D) AS v")
+    few = part.selectExpr("1000000000 + p_partkey div 20 AS page", "p_partkey AS seq", "array((p_partkey * 37) % 300 + 60D, (p_partkey * 53) % 250 + 90D, (p_partkey * 37) % 300 + 130D + p_size, (p_partkey * 53) % 250 + 150D, (p_partkey * 7919 % 1000) / 1000D, p_partkey % 2 + 0D) AS v")
+    rows = many.unionByName(few)
+    sizes = rows.select("page").distinct().selectExpr("page", "cast(800 + page % 7 * 100 AS int) AS width", "cast(1100 + page % 3 * 90 AS int) AS height")
+    return detect.detections(rows, sizes, only=detect.TEXT).selectExpr("page", "ord", "score", "cast(x0 AS long) AS x0", "cast(y0 AS long) AS y0", "cast(x1 AS long) AS x1", "cast(y1 AS long) AS y1")
+
+
 _LETTERBOX = "SELECT *, least(736.0 / greatest(x1 - x0, 1), 736.0 / greatest(y1 - y0, 1)) AS scale, x1 - x0 AS w, y1 - y0 AS h FROM b"
 
 
@@ -609,3 +639,14 @@ def phrase_pick(spark, sf_dir):
     pages = boxes(spark, sf_dir).select(F.col("page").cast("int").alias("page")).distinct().withColumn("panel", F.explode(F.sequence(F.lit(0), F.lit(2))))
     phrases = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("phrase"))
     return pages.join(phrases, corpus.phrase_index(F.col("page"), F.col("panel"), 25) == F.col("n_nationkey")).select("page", "panel", "phrase")
+
+
+@query(f"""
+WITH b AS (SELECT page, count(*) FILTER (WHERE least(1024, x1) > least(1024, x0) AND least(1024, y1) > least(1024, y0)) AS n FROM ({_BOXES}) GROUP BY page)
+SELECT CASE WHEN page % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS pages, CAST(sum(n) AS BIGINT) AS line_crops FROM b GROUP BY 1
+""")
+def split_counts(spark, sf_dir):
+    line = F.struct("id", F.col("id").cast("string").alias("text"), "x0", "y0", "x1", "y1")
+    samples = boxes(spark, sf_dir).groupBy(F.col("page").alias("index")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    none = F.filter("lines", lambda _: F.lit(False))
+    return corpus.split_counts(corpus.dataset(samples.withColumns({"w": F.lit(1024), "h": F.lit(1024), "layout": F.lit("scene_text"), "bubbles": none})))

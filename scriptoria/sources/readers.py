@@ -39,10 +39,12 @@ def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUF
     return pages.join(files.select("path", "content"), "path").select("page", "name", "path", "content")
 
 
-def pixels(spark: SparkSession, path: str, natural: bool = True) -> DataFrame:
-    """page, name, data, height, width, channels (BGR bytes) by Spark's image source; unreadable files keep their number and have null data."""
-    found = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+def pixels(spark: SparkSession, path: str, natural: bool = True, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
+    """page, name, data, height, width, channels (BGR bytes) by Spark's image source; unreadable files keep their number and have
+    null data, files of other suffixes have no row."""
     name = F.element_at(F.split("origin", "/"), -1)
+    found = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    found = found.where(F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(*suffixes))
     listed = found.select("origin", name.alias("name"))
     order = [natural_key(F.col("name"))] if natural else []
     numbered = listed.withColumn("page", F.row_number().over(Window.orderBy(*order, "name", "origin")).cast("long"))
