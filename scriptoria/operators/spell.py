@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.functions.profile import CYRILLIC, AlphabetProfile
+from scriptoria.session import stored
 
 MORPH_SHARE, FREQUENCY_SHARE, LENGTH_PENALTY = 0.62, 0.38, 0.015
 GOOD, FLOOR, MARGIN = 0.20, 0.35, 0.15
@@ -142,7 +143,8 @@ def normalize_with(df: DataFrame, text: str, lexicon: DataFrame, out: str = "nor
     each = parts.select("_id", "tokens", F.posexplode("gaps").alias("k", "gap")).select("_id", "k", "gap", F.get("tokens", F.col("k")).alias("token"))
     each = each.withColumn("letters", F.when(F.col("token").isNotNull(), T.token_letters(F.col("token"), profile)))
     each = each.withColumn("word", F.when(F.col("letters").rlike(f"[{profile.letter_class}]"), F.lower("letters")))
-    corrected = best_edits(each.where("word is not null").select("word"), lexicon, profile)
+    # written once: both joins below and the search for fused words read the corrected words
+    corrected = stored(best_edits(each.where("word is not null").select("word"), lexicon, profile))
     pieces = segmented(corrected.select(F.col("corrected").alias("word")), lexicon)
     final = corrected.join(pieces.withColumnRenamed("word", "corrected"), "corrected").select("word", "corrected", "pieces")
     done = each.join(final, "word", "left")
