@@ -139,8 +139,9 @@ def normalize_with(df: DataFrame, text: str, lexicon: DataFrame, out: str = "nor
     rows = df.select(F.col(text).alias("_id")).where(F.col(text).isNotNull()).distinct()
     text = "_id"
     mapped = rows.select("_id", T.map_confusables(F.col(text), profile).alias("t"))
-    parts = mapped.select("_id", F.split("t", profile.token_pattern, -1).alias("gaps"), T.tokens(F.col("t"), profile).alias("tokens"))
-    each = parts.select("_id", "tokens", F.posexplode("gaps").alias("k", "gap")).select("_id", "k", "gap", F.get("tokens", F.col("k")).alias("token"))
+    # a gap and its token in one element: a row that carried all tokens would make long texts quadratic
+    parts = mapped.select("_id", F.arrays_zip(F.split("t", profile.token_pattern, -1).alias("gap"), T.tokens(F.col("t"), profile).alias("token")).alias("parts"))
+    each = parts.select("_id", F.posexplode("parts").alias("k", "p")).select("_id", "k", "p.gap", "p.token")
     each = each.withColumn("letters", F.when(F.col("token").isNotNull(), T.token_letters(F.col("token"), profile)))
     each = each.withColumn("word", F.when(F.col("letters").rlike(f"[{profile.letter_class}]"), F.lower("letters")))
     # written once: both joins below and the search for fused words read the corrected words
