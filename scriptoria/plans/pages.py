@@ -122,17 +122,20 @@ def lines(
     return out.where(vote.not_noise(F.col("text"), F.col("confidence")))
 
 
+def _placed(found: DataFrame) -> DataFrame:
+    """The columns of `lines` with row and ord: rows from the top, words from the left."""
+    order = found.select("*", (F.col("box") * 10_000 + F.col("piece")).alias("seq"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h"))
+    return layout.rows_of(order, "page", "cy", "h", "x0", "seq").join(order, ["page", "seq"])
+
+
 def line_rows(found: DataFrame) -> DataFrame:
     """page, row, confidence, certain, passes: the rows of text of each page from `lines`."""
-    placed = found.select("*", (F.col("box") * 10_000 + F.col("piece")).alias("seq"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h"))
-    rows = layout.rows_of(placed, "page", "cy", "h", "x0", "seq").join(placed, ["page", "seq"])
-    return rows.groupBy("page", "row").agg(*layout.page_summary(F.col("confidence"), F.col("certain"), F.col("passes")))
+    return _placed(found).groupBy("page", "row").agg(*layout.page_summary(F.col("confidence"), F.col("certain"), F.col("passes")))
 
 
 def page_text(found: DataFrame, profile: AlphabetProfile = CYRILLIC) -> DataFrame:
     """page, text, confidence, certain, passes from `lines`: rows from the top, words from the left."""
-    order = found.select("*", (F.col("box") * 10_000 + F.col("piece")).alias("seq"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h"))
-    placed = layout.rows_of(order, "page", "cy", "h", "x0", "seq").join(order.select("page", "seq", "text"), ["page", "seq"])
+    placed = _placed(found).select("page", "row", "ord", "text")
     rows = layout.joined_text(placed, ["page", "row"], ["ord"], "text", " ").withColumn("text", T.normalize(F.col("text"), profile))
     text = layout.joined_text(rows, ["page"], ["row"], "text", "\n")
     summary = found.groupBy("page").agg(*layout.page_summary(F.col("confidence"), F.col("certain"), F.col("passes")))

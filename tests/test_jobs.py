@@ -160,3 +160,10 @@ def test_dataset_settings(spark, tmp_path):
     writers.dataset(df, str(tmp_path / "d"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "d" / "dataset.yaml")).collect()]
     assert lines[1:] == ["train: images/train", "val: images/val", "names:", "  0: text", "  1: bubble"]
+
+
+def test_confidence_of_rows_of_text(spark):
+    words = [(1, 0, 0, 0, 0, 20, 10, "a", 0.9, True, 1), (1, 1, 0, 30, 2, 50, 12, "b", 0.4, False, 4), (1, 2, 0, 0, 40, 20, 50, "c", 0.8, True, 2)]
+    found = spark.createDataFrame(words, "page long, box long, piece long, x0 int, y0 int, x1 int, y1 int, text string, confidence double, certain boolean, passes int")
+    assert [tuple(r) for r in pages.line_rows(found).orderBy("row").collect()] == [(1, 1, 0.4, False, 4), (1, 2, 0.8, True, 2)]
+    assert [tuple(r) for r in pages.page_text(found.replace({"a": "б", "b": "в", "c": "г"}, subset=["text"])).collect()] == [(1, "б в\nг", 0.4, False, 4)]
