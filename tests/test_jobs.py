@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+from scriptoria.__main__ import plug
 from scriptoria.operators import ctc, detect
 from scriptoria.plans import chapter, pages
 from scriptoria.sources import readers, writers
@@ -65,7 +66,7 @@ def test_rows_of_pixels_are_cut(spark, folder):
 
 
 def test_scan_keeps_numbers_and_writes_the_chapter(spark, folder, tmp_path):
-    found = chapter.scan(readers.pixels(spark, str(folder)), make_detector, make_recognizer, top=20)
+    found = chapter.scan(readers.pixels(spark, str(folder)), plug("tests.test_jobs:make_detector"), plug("tests.test_jobs:make_recognizer"), top=20)
     chapter.write_chapter(found, str(tmp_path / "out"))
     report = {r["page"]: r for r in spark.read.json(str(tmp_path / "out" / "report")).collect()}
     assert sorted(report) == [2, 3] and report[3]["source"] == "p10.png" and report[3]["text"] == "Текст" and report[3]["certain"]
@@ -76,7 +77,7 @@ def test_scan_keeps_numbers_and_writes_the_chapter(spark, folder, tmp_path):
 def test_engines_side_by_side(spark, folder):
     png(folder / "a.png", np.zeros((4, 4, 3), np.uint8))
     found = readers.pixels(spark, str(folder), natural=False, suffixes=(".png",))
-    rows = chapter.engine_rows(found, {"one": make_engine, "broken": lambda: 1 / 0})
+    rows = chapter.engine_rows(found, {"one": plug("tests.test_jobs:make_engine"), "broken": lambda: 1 / 0})
     got = {(r["engine"], r["page"]): r for r in rows.collect()}
     assert len(got) == 8  # a.png, p1.png, p10.png, p2.png
     assert "too small" in got["one", 1]["error"] and "loaded" in got["one", 2]["error"] and got["one", 3]["error"] is None
