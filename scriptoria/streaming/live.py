@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState
 
 from scriptoria.operators.live import UNCHANGED, Fold, _flag
+from scriptoria.session import remove, shared_dir
 
 OUTPUT = "frame_id long, changed boolean, analyzed boolean, reused boolean"
 STATE = "last array<double>, frame long, result string"
@@ -49,6 +52,20 @@ def run_to_memory(stream: DataFrame, name: str, checkpoint: str | None = None) -
     return spark.table(name)
 
 
+def run_to_files(stream: DataFrame) -> DataFrame:
+    """Drain a finite stream into files below the session's shared folder; no row comes to the driver.
+
+    The stream's state lies there too. Both go when the driver ends, as the result is read later.
+    """
+    spark: SparkSession = stream.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, folder)
+    writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    query = writer.option("checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/rows")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def keep_latest(stream: DataFrame, by: list[str], order: list[str], handle, checkpoint: str | None = None):
     """Start a query that hands each micro-batch's newest row of each group to `handle(df, batch_id)`."""
     from scriptoria.operators.live import latest
