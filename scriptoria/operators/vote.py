@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +20,23 @@ def _winner(groups: DataFrame, by: list[str]) -> DataFrame:
     everything = Window.partitionBy(*by)
     order = everything.orderBy(F.desc("n"), F.desc("top"), F.asc("first"), F.asc("key"))
     ranked = groups.withColumns({"total": F.sum("n").over(everything), "place": F.row_number().over(order)}).where("place = 1")
-    score = F.lit(MODEL_SHARE) * F.col("mean") + F.lit(AGREEMENT_SHARE) * F.col("n") / F.col("total")
+    # the share of n as a decimal, as in SQL: 0.3 * 3 as doubles falls short of 0.9, which decides between equal scores
+    agreement = (F.lit(Decimal(str(AGREEMENT_SHARE))) * F.col("n")).cast("double")
+    score = F.lit(MODEL_SHARE) * F.col("mean") + agreement / F.col("total")
     return ranked.withColumn("score", score).drop("place")
 
 
-def consensus(readings: DataFrame, crop: str, key: str = "key", confidence: str = "confidence", seq: str = "seq", target: float = 0.90) -> DataFrame:
+def consensus(readings: DataFrame, crop: str, key: str = "key", confidence: str = "confidence", seq: str = "seq", target: float = 0.90, order: str | None = None) -> DataFrame:
     """crop, text, confidence (capped), certain, n, total of each crop's readings.
 
     One partial aggregate to (crop, key) and a window over its few rows; `certain` needs the uncapped score
-    at the target and at least two readings that agree.
+    at the target and at least two readings that agree. Confidences are added up by `order`, or else by seq
+    and size: the last bit of a mean may decide between engines, and must not hang on how rows were dealt out.
     """
-    groups = readings.groupBy(F.col(crop), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("mean"), F.max(confidence).alias("top"), F.min(seq).alias("first"))
+    place = F.col(order) if order else F.struct(F.col(seq), F.col(confidence))
+    added = F.array_sort(F.collect_list(F.when(F.col(confidence).isNotNull(), F.struct(place.alias("at"), F.col(confidence).cast("double").alias("c")))))
+    mean = F.when(F.size(added) > 0, F.aggregate(added, F.lit(0.0), lambda s, r: s + r["c"]) / F.size(added))
+    groups = readings.groupBy(F.col(crop), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"), F.max(confidence).alias("top"), F.min(seq).alias("first"))
     won = _winner(groups, [crop])
     return won.select(crop, F.col("key").alias("text"), F.least(F.col("score"), F.lit(CEILING)).alias("confidence"), ((F.col("score") >= target) & (F.col("n") >= 2)).alias("certain"), "n", "total")
 
